@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_cascade",)
+MODULES = ("url_cascade", "chat")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
