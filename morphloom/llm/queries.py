@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_cascade", "chat")
+MODULES = ("url_cascade", "chat", "quality_model", "quality_rules")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
