@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_cascade", "chat", "quality_model", "quality_rules")
+MODULES = ("url_cascade", "chat", "quality_model", "quality_rules", "token_store")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
