@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import bounded_batches
-from .tokens import Encoder, Memo, encoder, vocabulary
+from .tokens import Encoder, encoder, vocabulary
 
 WORDS = 1 << 16
-FLUSH = 400_000  # distinct words that a task counts before it passes them on
+FLUSH = 400_000  # distinct units that a task counts before it passes their words on
 _NONE = 0xFFFFFFFF
 
 
@@ -160,27 +160,33 @@ class LexiconEncoder(Encoder):
     def __init__(self, path: str, block: bytes) -> None:
         super().__init__(path)
         self.lexicon = Lexicon(block)
-        self.memo = Memo(self.looked_up)
 
-    def looked_up(self, word: str) -> bytes:
+    def of_word(self, word: str) -> bytes:
         found = self.lexicon.find(word.encode())
-        return self.of_word(word) if found is None else found
+        return super().of_word(word) if found is None else found
 
 
 def frequent_words(docs: DataFrame, path: str, k: int = WORDS) -> list[str]:
-    """The k most frequent pre-tokens of all texts, ties in code-point order; k bounds what reaches the driver."""
+    """The k most frequent pre-tokens of all texts, ties in code-point order; k bounds what reaches the driver.
+
+    For vocabularies that drop white space and case.
+    """
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(path), Counter()
 
         def told() -> pa.RecordBatch:
-            return pa.record_batch({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+            words: Counter[str] = Counter()
+            for unit, n in seen.items():
+                for word in enc.find(unit):
+                    words[word] += n
+            return pa.record_batch({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text and not enc.is_odd(text):
-                    seen.update(enc.pieces(text))
+                    seen.update(text.lower().split())
                     if len(seen) > FLUSH:
                         yield told()
                         seen.clear()

@@ -83,15 +83,20 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+@lru_cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(ids: np.ndarray) -> bytes:
     wide = int(ids.max()) > 0xFFFF if len(ids) else False
     planes = ids.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(ids), -1).T
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([wide]) + _zstd()[0].compress(planes.tobytes())
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
     size = 4 if data[0] else 2
-    raw = zstandard.ZstdDecompressor().decompress(data[1:], max_output_size=n * size)
+    raw = _zstd()[1].decompress(data[1:], max_output_size=n * size)
     return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(size, n).T.tobytes(), "<u4" if size == 4 else "<u2").astype("<u4")
 
 
@@ -117,12 +122,19 @@ def _skip(power: int) -> list[int]:
     return [_times(half, x) for x in half]
 
 
+@lru_cache
+def _skip_table(power: int) -> list[list[int]]:
+    """The same for each value of each byte of a CRC."""
+    return [[_times(_skip(power)[8 * i : 8 * i + 8], x) for x in range(256)] for i in range(4)]
+
+
 def crc_join(first: int, second: int, length: int) -> int:
     """CRC32 of two byte strings put together, from theirs and the second's length."""
     power = 0
-    while length:
+    while length and first:
         if length & 1:
-            first = _times(_skip(power), first)
+            a, b, c, d = _skip_table(power)
+            first = a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24]
         length >>= 1
         power += 1
     return first ^ second

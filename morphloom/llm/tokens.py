@@ -1,10 +1,12 @@
 """Token ids of the public tokenizer files, exactly as the tokenizers library gives them, at the speed of a lookup.
 
-A text is normalised and cut into pre-tokens; each distinct pre-token is encoded once in a worker by the library's
-own model and then looked up. For texts whose characters all lie in the vetted range (below U+0180, without
-control characters that the two regex engines class differently) the cutting is done by Python's ``re`` with the
-letter and number classes of that range spelled out; every other text, and every text that holds one of the added
-tokens, goes through the library as a whole. So the results are the library's for any text.
+A text is normalised and cut at white space into units; each distinct unit is cut into pre-tokens and encoded once in
+a worker by the library's own model, and then looked up. Where white space counts, a lone space goes with what follows
+it and a lone line feed starts anew, so units don't depend on each other; a text with other white space is cut into
+pre-tokens as a whole. For texts whose characters all lie in the vetted range (below U+0180, without control
+characters that the two regex engines class differently) the cutting is done by Python's ``re`` with the letter and
+number classes of that range spelled out; every other text, and every text that holds one of the added tokens, goes
+through the library as a whole. So the results are the library's for any text.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from collections.abc import Callable, Iterable
 from functools import cache
 
 LIMIT = 0x180
-MEMO = 250_000  # pre-tokens that a worker remembers
-END = {"byte_bpe_50k.json": 2, "word_bpe_49k.json": 0}
+UNITS, WORDS = 600_000, 100_000  # units and pre-tokens that a worker remembers
 
 
 def _class(kind: str) -> str:
@@ -28,31 +29,36 @@ def _class(kind: str) -> str:
 @cache
 def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     let, num = _class("L"), _class("N")
-    short = "'s|'t|'re|'ve|'m|'ll|'d"
-    words = re.compile(rf"{short}|[{let}]+|[{num}]|[^\s{let}{num}]+")
-    spaced = re.compile(rf"{short}| ?[{let}]+| ?[{num}]+| ?[^\s{let}{num}]+|\s+(?!\S)|\s+")
+    short = "'(?:[stmd]|re|ve|ll)"
+    words = re.compile(rf"[{let}]+|{short}|[{num}]|[^\s{let}{num}]+")
+    spaced = re.compile(rf" ?[{let}]+|{short}| ?[{num}]+| ?[^\s{let}{num}]+|\s+(?!\S)|\s+")
     odd = re.compile(rf"[^\t-\r -~\x85\xa0-{chr(LIMIT - 1)}]")
     return words, spaced, odd
 
 
 @cache
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next free letter from U+0100."""
     shown = [b for b in range(256) if 0x21 <= b <= 0x7E or (0xA1 <= b and b != 0xAD)]
-    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    free = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(free)) for b in range(256)]
 
 
 def byte_level(word: str) -> str:
     """A pre-token in the alphabet of byte-level vocabularies."""
-    if word.isascii() and word.isprintable() and " " not in word:
-        return word
+    if word.isascii() and word[1:].isalpha():
+        return "\u0120" + word[1:] if word[0] == " " else word if word[0] > " " else "\u010a" + word[1:]
     return "".join(map(_byte_letters().__getitem__, word.encode()))
 
 
+class Mixed(Exception):
+    """A text's white space is more than lone spaces and line feeds, so it can't be cut there."""
+
+
 class Memo(dict):
-    """word -> what ``make`` gives, remembered for the first MEMO words."""
+    """word -> what ``make`` gives, remembered for the first ``size`` words."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int = MEMO) -> None:
+    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
         super().__init__()
         self.make, self.size = make, size
 
@@ -77,25 +83,46 @@ class Encoder:
         self.lower = t.normalizer is not None
         self.find = (words if self.lower else spaced).findall
         self.added = [x.content for x in t.get_added_tokens_decoder().values()]
-        self.model = t.model
-        self.memo = Memo(self.of_word)
+        self.tokenize = t.model.tokenize
+        t.model._resize_cache(0)  # words are remembered here
+        self.memo, self.words = Memo(self.of_unit, UNITS), Memo(self.of_word, WORDS)
 
     def of_word(self, word: str) -> bytes:
-        return array("I", [x.id for x in self.model.tokenize(byte_level(word))]).tobytes()
+        """Of a pre-token."""
+        return array("I", [x.id for x in self.tokenize(byte_level(word))]).tobytes()
+
+    def of_unit(self, unit: str) -> bytes:
+        """Of a part of a text between spaces; where white space counts, a space goes before it unless it starts with a line feed."""
+        if unit.isalpha():
+            return self.of_word(unit if self.lower else " " + unit)
+        if not self.lower:
+            if not unit or unit[1:].split() != [unit[1:]] and unit[1:] or unit == "\n" or unit[0].isspace() and unit[0] != "\n":
+                raise Mixed
+            if unit[0] != "\n":
+                unit = " " + unit
+        return b"".join(map(self.of_part, self.find(unit)))
+
+    def of_part(self, word: str) -> bytes:
+        """Of a pre-token; one that is a unit of letters is remembered as such."""
+        if self.lower:
+            return self.memo[word] if word.isalpha() else self.words[word]
+        return self.memo[word[1:]] if word[0] == " " and word[1:].isalpha() else self.words[word]
 
     def is_odd(self, text: str) -> bool:
         return self.odd.search(text) is not None or any(x in text for x in self.added)
 
-    def pieces(self, text: str) -> list[str]:
-        """The pre-tokens of a text that is not odd."""
-        return self.find(text.lower() if self.lower else text)
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.is_odd(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
+        if self.lower:
+            return b"".join(map(self.memo.__getitem__, text.lower().split()))
+        try:
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return b"".join((*map(self.words.__getitem__, self.find(first)), *map(self.memo.__getitem__, rest)))
+        except Mixed:
+            return b"".join(map(self.words.__getitem__, self.find(text)))
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
