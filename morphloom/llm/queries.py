@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_cascade", "chat", "quality_model", "quality_rules", "token_store")
+MODULES = ("quality_model", "quality_rules", "packing", "near_dups", "token_store", "url_cascade", "lexicon", "chat")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
