@@ -293,6 +293,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns. Of repeated rows of a kept doc_id all stay.
+
+    What goes is mostly far less than what stays, so the ids that go are joined.
+    """
+    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    gone = stored(gone, "gone")
+    return docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
