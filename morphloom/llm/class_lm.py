@@ -38,7 +38,6 @@ SWEEPS = 4
 STRENGTH = 20.0
 FLUSH = 400_000  # distinct words or bigrams that a task holds before it passes them on
 _LOWER = bytes(range(256)).lower()
-_END = np.uint64(0xE4D0E4D0E4D0E4D1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,10 +81,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def _bigrams(docs: DataFrame, ids: dict[int, int]) -> DataFrame:
     """(a, b, n): neighbours among the clustered words (by place), the open classes and the end (the last number)."""
     sent = docs.sparkSession.sparkContext.broadcast(ids)  # CLUSTERED entries
-    end, size = CLUSTERED + OPEN, CLUSTERED + OPEN + 1
+    others, end, size = CLUSTERED, CLUSTERED + OPEN, CLUSTERED + OPEN + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers(sent.value)
+        numbers = _Numbers(sent.value, others)
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         parts: list[np.ndarray] = []
         pending = 0
@@ -117,16 +116,16 @@ def _summed(keys: np.ndarray, n: np.ndarray, parts: list[np.ndarray]) -> tuple[n
 
 
 class _Numbers(dict):
-    """Word to its place among the clustered words, else CLUSTERED + its open class; remembers so many words."""
+    """Word to its place among the clustered words, else others + its open class; remembers size words."""
 
-    def __init__(self, ids: dict[int, int], size: int = 300_000) -> None:
+    def __init__(self, ids: dict[int, int], others: int, size: int = 300_000) -> None:
         super().__init__()
-        self.ids, self.size = ids, size
+        self.ids, self.others, self.size = ids, others, size
 
     def __missing__(self, word: bytes) -> int:
         out = self.ids.get(name(word))
         if out is None:
-            out = CLUSTERED + open_class(word)
+            out = self.others + open_class(word)
         if len(self) < self.size and len(word) < 64:
             self[word] = out
         return out
@@ -241,8 +240,8 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         classes, floor = m.classes, np.log10(m.base_floor)
-        numbers = _Numbers(m.ids)
-        end = CLUSTERED + OPEN
+        end = len(classes) - 1
+        numbers = _Numbers(m.ids, end - OPEN)
         # per frequent word: place or open class, base, emission
         known: dict[bytes, tuple[int, float, float] | None] = {}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality_model", "quality_rules", "packing", "near_dups", "token_store", "url_cascade", "lexicon", "chat")
+MODULES = ("hamming", "quality_model", "quality_rules", "packing", "near_dups", "class_lm", "token_store", "url_cascade", "lexicon", "chat")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
