@@ -6,10 +6,11 @@ batch a pair is dropped when the posterior probability that its similarity reach
 far and a uniform prior, is below MISS. What survives is confirmed on the full word pairs of both texts.
 
 Only classes are asked for, so no group ever yields all its pairs. First each node meets the smallest node of its
-bands (linear). Buckets that then still hold several components are compared in blocks of bounded size, across
-components only; large ones first yield the best partner of each node, which merges most of what belongs together,
-and at last every surviving pair that still spans two components is confirmed or refuted. Hence no link between
-candidates is lost. The bands miss a pair of similarity 0.8 with probability (1 - 0.8**ROWS)**BANDS = 3e-6.
+bands (linear), and the best such pair of a node is confirmed. Buckets that then still hold several components are
+compared in blocks of bounded size, across components only: what survives the comparison of signatures is confirmed
+there and then on the full sets (of 64-bit shingle hashes), and only links that join two components are given out.
+Buckets with the same nodes are compared once. Hence no link between candidates is lost, and no pair that is refuted
+leaves its block. The bands miss a pair of similarity 0.8 with probability (1 - 0.8**ROWS)**BANDS = 3e-6.
 
 Components are found by large-star and small-star rounds over tables. Node ids are 64-bit digests of sets: two
 different sets among n get the same with probability n * n / 2**65.
@@ -39,8 +40,7 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32  # signature values compared at a time
 MISS = 1e-6
-BLOCK = 1024  # nodes in a block of a large bucket
-SMALL = 64  # nodes of a bucket whose surviving pairs are all taken at once
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # nodes and shingles in a block of a large bucket, on average at most
 BROADCAST_ROWS = 1_000_000  # ids that may be broadcast; beyond, joins shuffle
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -188,12 +188,16 @@ def _pairs_survive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select("a", "b", F.arrow_udf(run, "long")("sig_a", "sig_b").alias("matches")).where("matches >= 0")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only texts of nodes in pairs are shuffled."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes. Only their texts are shuffled."""
     keys = stored(wanted.join(nodes.select("node", "rep.doc_id", "rep.tkey"), "node"), "wanted")
     texts = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").join(_bounded(keys), ["doc_id", "tkey"]).select("node", "text")
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    return texts.dropDuplicates(["node"])
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    texts = stored(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs), "texts")
 
     def run(ta: pa.Array, tb: pa.Array) -> pa.Array:
         out, last, hub = [], None, set()
@@ -210,41 +214,69 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", F.arrow_udf(run, "boolean")("text_a", "text_b").alias("linked")).where("linked").select("a", "b")
 
 
-def _block_pairs(group: tuple[np.ndarray, ...], every: bool) -> list[tuple[int, int, int]]:
-    """Surviving pairs across components in one bucket or pair of blocks: all, or the best one of each node."""
-    node, root, n, block, sig, one = group
+def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the others (sorted sets) reach the threshold with one; exact."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+    return 100 * both >= PERCENT * (len(one) + sizes - both)
+
+
+def links_across(node: np.ndarray, root: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], one_block: bool) -> list[tuple[int, int]]:
+    """Links between components in one block of a bucket or between two, as many as join what belongs together."""
     found = []
+    part = np.unique(root, return_inverse=True)[1]
+    n = np.array([len(x) for x in sets])
     for i in range(len(node) - 1):
-        rest = np.flatnonzero((root[i + 1 :] != root[i]) & ((block[i + 1 :] != block[i]) | one) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))) + i + 1
+        fits = (part[i + 1 :] != part[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))
+        if not one_block:
+            fits &= block[i + 1 :] != block[i]
+        rest = np.flatnonzero(fits) + i + 1
         if len(rest):
-            m = survivors(np.broadcast_to(sig[i], (len(rest), HASHES)), sig[rest])
-            fine = np.flatnonzero(m >= 0)
-            if len(fine) and not every and len(node) > SMALL:
-                fine = fine[[m[fine].argmax()]]
-            found += [(int(node[i]), int(node[rest[k]]), int(m[k])) for k in fine]
+            rest = rest[survivors(np.broadcast_to(sig[i], (len(rest), HASHES)), sig[rest]) >= 0]
+        for lo in range(0, len(rest), 256):
+            some = rest[lo : lo + 256]
+            some = some[part[some] != part[i]]
+            if len(some):
+                for j in some[similar(sets[i], [sets[j] for j in some])]:
+                    if part[j] != part[i]:
+                        found.append((int(node[i]), int(node[j])))
+                        part[part == part[j]] = part[i]
     return found
 
 
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
-    """(a, b, matches): surviving pairs of buckets that hold several components.
+def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between components, from buckets that hold several.
 
-    A bucket of more than BLOCK nodes is cut into blocks by hash, and each pair of blocks is a group of its own.
+    A large bucket is cut into blocks by hash, and each pair of blocks is a group of its own.
     """
-    now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = now.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).join(nodes.select("node", "n", "sig"), "node")
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n", "sig")
+    now = members.join(roots, "node", "left").join(nodes.select("node", "n"), "node").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    now = stored(now, "bucket-roots")
+    mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2))).where("lo != hi")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.groupBy("size", "x1", "x2").agg(F.min("key").alias("key"), F.max(blocks).alias("blocks"))
+    rows = now.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int"))
+    rows = stored(rows.select("key", "blocks", "block", "node", "root"), "mixed-buckets")
+
+    def to_set(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    wanted = rows.select("node").distinct()
+    sets = _texts(wanted, nodes, docs).select("node", F.arrow_udf(to_set, "binary")("text").alias("shingles"))
+    sets = stored(sets.join(nodes.select("node", "sig"), "node"), "sets")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "block", "node", "root", other).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root").join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def told() -> pa.RecordBatch:
-            key = held[0]
-            group = (*(np.array([r[c] for r in held]) for c in ("node", "root", "n", "block")), np.frombuffer(b"".join(r["sig"] for r in held), np.uint8).reshape(-1, HASHES), key["lo"] == key["hi"])
-            found = _block_pairs(group, every)
-            return pa.record_batch({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("a", "b", "matches"))})
+            node, root, block = (np.array([r[c] for r in held]) for c in ("node", "root", "block"))
+            sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint8).reshape(-1, HASHES)
+            sets = [np.frombuffer(r["shingles"], np.uint64) for r in held]
+            found = links_across(node, root, block, sig, sets, held[0]["lo"] == held[0]["hi"])
+            return pa.record_batch({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate("ab")})
 
         for b in batches:
             for r in b.to_pylist():
@@ -255,8 +287,8 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, every: bool)
         if held:
             yield told()
 
-    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long, matches long")
-    return found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("matches").alias("matches"))
+    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,19 +304,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     near = stored(_pairs_survive(star, nodes), "survivors")
     best = near.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
-    tested = stored(best, "tested")
-    links = stored(_confirm(tested, nodes, docs), "links")
+    links = stored(_confirm(stored(best, "tested"), nodes, docs), "links")
     roots = components(links)
-    for every in (False, True):
-        found = _across(members.select("key", "node"), nodes, roots, every)
-        new = found.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        new = stored(new.select("a", "b"), "across")
-        if new.isEmpty():
-            continue
-        more = stored(_confirm(new, nodes, docs), "links")
-        tested = tested.unionByName(new)
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    more = stored(_across(members.select("key", "node"), nodes, roots, docs), "links")
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = nodes.select("node", F.col("rep.doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
