@@ -55,11 +55,11 @@ def _r(*columns: str) -> list:
     return [F.round(c, 6).alias(c) for c in columns]
 
 
-W_SQL = f"""occ as (select doc_id, unnest(l) w, unnest(range(len(l))) pos from (select doc_id, list_filter(regexp_split_to_array(text, '{_SPACE}'), x -> x <> '') l from documents)),
-words as (select '▁' || w word, count(*) cnt, min({{d: doc_id, p: pos}}) f from occ group by w)"""
+W_SQL = f"""occ as (select doc_id, unnest(l) w, unnest(range(len(l))) pos from (select doc_id, list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '') l from documents)),
+words as materialized (select '▁' || w word, count(*) cnt, min({{d: doc_id, p: pos}}) f from occ group by w)"""
 P_SQL = W_SQL + """,
 seg as (select word, cnt, f, string_split(word, '') t from words),
-pairs as (select t[i] a, t[i + 1] b, sum(cnt)::bigint n, min({d: f.d, p: f.p, i: i - 1}) fs from (select *, unnest(range(1, len(t))) i from seg where cnt > 0 and len(t) >= 2) group by 1, 2)"""
+pairs as materialized (select t[i] a, t[i + 1] b, sum(cnt)::bigint n, min({d: f.d, p: f.p, i: i - 1}) fs from (select *, unnest(range(1, len(t))) i from seg where cnt > 0 and len(t) >= 2) group by 1, 2)"""
 A_SQL = P_SQL + """,
 z as (select sum(n)::double z from pairs), na as (select a, sum(n)::double x from pairs group by a), nb as (select b, sum(n)::double y from pairs group by b),
 assoc as (select * from (select a, b, n, fs, ln((n * (1 / z) + 1e-12) / (x * (1 / z) * (y * (1 / z)) + 1e-12)) pp from pairs join na using (a) join nb using (b), z where n >= 2) where pp > 0)"""
@@ -198,29 +198,29 @@ def score_spectral(spark, d):
 def _greedy(name: str, pairs: str) -> str:
     """Recursive CTEs that walk the pairs in order and take those without a used symbol."""
     return f"""
-{name}_o as (select a, b, n::double score, row_number() over (order by n desc, fs) r from {pairs}),
+{name}_o as materialized (select a, b, n::double score, row_number() over (order by n desc, fs) r from {pairs}),
 {name}_g(r, used, k, a, b, score, taken) as (select 0::bigint, []::varchar[], 0, null::varchar, null::varchar, null::double, false
   union all select o.r, case when not list_contains(g.used, o.a) and not list_contains(g.used, o.b) then g.used || [o.a, o.b] else g.used end,
     g.k + case when not list_contains(g.used, o.a) and not list_contains(g.used, o.b) then 1 else 0 end, o.a, o.b, o.score, not list_contains(g.used, o.a) and not list_contains(g.used, o.b)
   from {name}_g g join {name}_o o on o.r = g.r + 1 where g.k < {BATCH}),
-{name} as (select row_number() over (order by r) step, a, b, a || b new_token, score from {name}_g where taken)"""
+{name} as materialized (select row_number() over (order by r) step, a, b, a || b new_token, score from {name}_g where taken)"""
 
 
 def _apply(name: str, source: str, picks: str) -> str:
     """Recursive CTE over the picks: tokens stand in chr(1) and chr(2), those just made in chr(3) and chr(4)."""
     return f"""
 {name}_r(word, s, k) as (select word, s, 0::bigint from {source} union all select word, replace(s, chr(1) || a || chr(2) || chr(1) || b || chr(2), chr(3) || a || b || chr(4)), k + 1 from {name}_r join {picks} on step = k + 1),
-{name} as (select word, replace(replace(s, chr(3), chr(1)), chr(4), chr(2)) s from {name}_r where k = (select count(*) from {picks}))"""
+{name} as materialized (select word, replace(replace(s, chr(3), chr(1)), chr(4), chr(2)) s from {name}_r where k = (select count(*) from {picks}))"""
 
 
 G0_SQL = P_SQL + "," + _greedy("p0", "pairs")
-G1_SQL = G0_SQL + ",\ns0 as (select word, chr(1) || array_to_string(t, chr(2) || chr(1)) || chr(2) s from seg)," + _apply("s1", "s0", "p0")
+G1_SQL = G0_SQL + ",\ns0 as materialized (select word, chr(1) || array_to_string(t, chr(2) || chr(1)) || chr(2) s from seg)," + _apply("s1", "s0", "p0")
 _TOKS = "string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1))"
 G2_SQL = (
     G1_SQL
     + f""",
 seg1 as (select word, cnt, f, {_TOKS} t from s1 join words using (word)),
-pairs1 as (select t[i] a, t[i + 1] b, sum(cnt)::bigint n, min({{d: f.d, p: f.p, i: i - 1}}) fs from (select *, unnest(range(1, len(t))) i from seg1 where cnt > 0 and len(t) >= 2) group by 1, 2),"""
+pairs1 as materialized (select t[i] a, t[i + 1] b, sum(cnt)::bigint n, min({{d: f.d, p: f.p, i: i - 1}}) fs from (select *, unnest(range(1, len(t))) i from seg1 where cnt > 0 and len(t) >= 2) group by 1, 2),"""
     + _greedy("p1", "pairs1")
     + f""",
 log as (select step, a, b, new_token, score, 0::bigint batch_id from p0 union all select step + (select count(*) from p0), a, b, new_token, score, 1 from p1)"""
@@ -357,7 +357,7 @@ def _ids_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "token_ids",
-    f"with {_V_SQL}, x as (select word, unnest(t) token, unnest(range(len(t))) at from enc), y as (select word, at, 0 sub, token from x where token in (select token from v) union all select word, at, unnest(range(len(c))), unnest(c) from (select word, at, string_split(token, '') c from x where token not in (select token from v))) select word, row_number() over (partition by word order by at, sub) - 1 as pos, id from y join v using (token)",
+    f"with {_V_SQL}, x as (select word, unnest(t) token, unnest(range(len(t))) pl from enc), y as (select word, pl, 0 sub, token from x where token in (select token from v) union all select word, pl, unnest(range(len(c))), unnest(c) from (select word, pl, string_split(token, '') c from x where token not in (select token from v))) select word, row_number() over (partition by word order by pl, sub) - 1 as pos, id from y join v using (token)",
 )
 def token_ids(spark, d):
     return E.token_ids(_encoded(spark, d), _ids_vocab(spark, d)).withColumn("id", F.col("id").cast("long"))
@@ -402,7 +402,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 def _curve_sql(points: list[int]) -> str:
     parts = " union all ".join(f"select {m}::bigint merges, word, boundary, cnt, {_TOKS} t from (select word, boundary, cnt, {_encoded_sql(m)} s from s)" for m in points)
     return f"""{W_SQL}, {_S_SQL}, c as ({parts}),
-cuts as (select merges, cnt, boundary, len(t) k, list_transform(range(1, len(t)), i -> list_sum(list_transform(t[1:i], x -> length(x)))) p from c),
+cuts as (select merges, cnt, boundary, len(t) k, list_transform(range(1, len(t)), lambda i: list_sum(list_transform(t[1:i], lambda x: length(x)))) p from c),
 tot as (select merges, sum(cnt)::double gold, sum(len(p) * cnt)::double pred, sum(case when list_contains(p, boundary) then cnt else 0 end)::double tp, sum(k * cnt)::double tokens from cuts group by merges),
 met as (select merges, case when pred > 0 then tp / pred else 0 end prec, case when gold > 0 then tp / gold else 0 end rec, case when gold > 0 then tokens / gold else 0 end tpw from tot),
 curve as (select merges, prec, rec, case when prec + rec > 0 then 2 * prec * rec / (prec + rec) else 0 end f1, tpw from met)"""
@@ -448,7 +448,7 @@ def auc_over_tokens(spark, d):
 
 @query(
     "matched_threshold",
-    f"with {CURVE_SQL}, m as (select 'all' as method, tpw from curve union all select 'half', tpw from curve where merges <= 6), s as (select method, min(tpw) lo, max(tpw) hi from m group by 1) select round(max(lo), 6) common_min, round(min(hi), 6) common_max, round(max(lo), 6) threshold from s",
+    f"with {CURVE_SQL}, m as (select 'all' as method, tpw from curve union all select 'half', tpw from curve where merges <= 6), spans as (select method, min(tpw) lo, max(tpw) hi from m group by 1) select round(max(lo), 6) common_min, round(min(hi), 6) common_max, round(max(lo), 6) threshold from spans",
 )
 def matched_threshold(spark, d):
     curve = _curve(spark, d)
@@ -466,9 +466,9 @@ def _ranks(spark: SparkSession, d: str) -> DataFrame:
     return V.pair_ranks(merges, spark.createDataFrame(_LOOKED, "a string, b string"))
 
 
-@query("boundary_ranks", f"with recursive {R_SQL} select a, b, rank from rk")
+@query("boundary_ranks", f"with recursive {R_SQL} select a, b, rank::double as rank from rk")
 def boundary_ranks(spark, d):
-    return _ranks(spark, d)
+    return _ranks(spark, d).withColumn("rank", F.col("rank").cast("double"))
 
 
 @query("rank_summary", f"with recursive {R_SQL} select min(rank)::double min_rank, round(avg(rank), 6) mean_rank, max(rank)::double max_rank, count(*) filter (rank is null) missing from rk")
@@ -516,7 +516,7 @@ def synthetic_eval(spark, d):
     """A smaller run of the synthetic stage: boundary metrics for each method."""
     from .stages import synthetic_stage
 
-    return synthetic_stage(spark, C.SyntheticConfig(word_types=600), vocab_size=150).summary
+    return synthetic_stage(spark, C.SyntheticConfig(word_types=300), vocab_size=100).summary
 
 
 @query("json_report")
