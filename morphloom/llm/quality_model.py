@@ -83,6 +83,8 @@ def fit(sample: DataFrame, features: Features, calibration: Column | None = None
     ready = sample.withColumn("cal", F.lit(False) if calibration is None else F.coalesce(calibration, F.lit(False)))
     ready = ready.mapInArrow(hashed, "slots binary, vals binary, y int, importance double, turn long, doc_id long, cal boolean")
     row = ready.repartition(1).sortWithinPartitions("turn", "doc_id").mapInArrow(learn, "w binary, b double, slope double, shift double").first()
+    if row is None:  # nothing to learn from
+        return Model(features, np.zeros(1 << features.bits, np.float32))
     return Model(features, np.frombuffer(bytes(row["w"]), np.float32), row["b"], row["slope"], row["shift"])
 
 
