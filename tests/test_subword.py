@@ -323,3 +323,57 @@ def test_entry_registers_queries(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 50
+
+
+def test_text_files_are_cut(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("häuser und\nmehr", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("kurz", encoding="utf-8")
+    got = sorted(r["text"] for r in C.read_text_files(spark, str(tmp_path), 6).collect())
+    assert got == ["häuser", "kurz"]
+
+
+def test_nth_smallest_value(spark):
+    rng = random.Random(6)
+    values = [rng.randrange(-50, 50) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    assert [C.nth_smallest(df, "x", n) for n in (1, 37, 200, 400)] == [sorted(values)[n - 1] for n in (1, 37, 200, 400)]
+
+
+def test_selection_is_maximal_and_free_of_conflicts(spark):
+    rng = random.Random(8)
+    letters = "abcdefghij"
+    rows = {(rng.choice(letters), rng.choice(letters)): float(rng.randrange(1, 6)) for _ in range(60)}
+    df = spark.createDataFrame([(a, b, s, i) for i, ((a, b), s) in enumerate(rows.items())], "a string, b string, score double, first_seen int")
+    picks = S.conflict_free(df, 100)
+    used = [x for p in picks for x in {p.a, p.b}]
+    assert len(used) == len(set(used))
+    assert all(set(p) & set(used) for p in rows)
+    assert [(p.a, p.b) for p in S.conflict_free(df, 2)] == [(p.a, p.b) for p in picks[:2]]
+
+
+def test_second_vector_of_the_laplacian_is_a_fixed_point(spark):
+    """Without isolated tokens, D^-1/2 W D^-1/2 keeps the square roots of the degrees."""
+    rows = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 0.5), ("c", "c", 1.0)]
+    sym = B.symmetric(spark.createDataFrame(rows, "a string, b string, w double"))
+    degree = defaultdict(float)
+    for r in sym.collect():
+        degree[r["a"]] += r["w"]
+    image = defaultdict(float)
+    for r in B.laplacian(sym).collect():
+        image[r["a"]] += r["v"] * math.sqrt(degree[r["b"]])
+    assert all(abs(x) < 1e-9 for x in image.values())
+
+
+def test_control_has_the_same_values_in_another_order(spark):
+    z = spark.createDataFrame([(f"t{i}", i, float(i)) for i in range(30)], "token string, id long, z float")
+    got = {r["id"]: r["z"] for r in Z.permuted(z, 5).collect()}
+    assert sorted(got.values()) == [float(i) for i in range(30)] and got != {i: float(i) for i in range(30)}
+    assert got == {r["id"]: r["z"] for r in Z.permuted(z, 5).collect()}
+
+
+def test_sigma_is_the_median_gap(spark):
+    z = spark.createDataFrame([("a", 0.0), ("b", 1.0), ("c", 4.0)], "token string, z float")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "a string, b string, w double")
+    assert Z.auto_sigma(edges, z, 0.0, 2.0).first()[0] == pytest.approx(2 * (2.0 + 1e-6))
+    assert Z.auto_sigma(edges.limit(0), z).first()[0] == 1.0
+    assert Z.auto_sigma(edges, z, 0.2, 1.5).first()[0] == pytest.approx(0.3)
