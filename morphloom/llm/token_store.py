@@ -36,6 +36,7 @@ from .scratch import bounded_batches, new_path, stored
 from .tokens import encoder, vocabulary
 
 LEAST, MASK, MOST = 512, 2047, 8192  # ids in a chunk: at least, on average about MASK more, at most
+REMEMBERED = 1_000_000  # white-space units whose ids a worker remembers
 SEEN = 500_000  # digests that a task remembers to have sent
 _OBJECT = "kind string, key binary, n long, data binary, doc_id long, chunks array<binary>"
 
@@ -142,7 +143,7 @@ def crc_join(first: int, second: int, length: int) -> int:
 
 def _objects(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sent = encoder(path), set()
+        enc, sent = encoder(path, REMEMBERED), set()
         tail = np.array([end], "<u4").tobytes()
         for b in batches:
             rows: dict[str, list] = {c: [] for c in ("kind", "key", "n", "data", "doc_id", "chunks")}

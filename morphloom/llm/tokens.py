@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable
 from functools import cache
 
 LIMIT = 0x180
-UNITS, WORDS = 600_000, 100_000  # units and pre-tokens that a worker remembers
+UNITS, WORDS = 600_000, 100_000  # units and pre-tokens that a worker remembers unless told otherwise
 
 
 def _class(kind: str) -> str:
@@ -72,7 +72,7 @@ class Memo(dict):
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, units: int = UNITS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,7 +85,7 @@ class Encoder:
         self.added = [x.content for x in t.get_added_tokens_decoder().values()]
         self.tokenize = t.model.tokenize
         t.model._resize_cache(0)  # words are remembered here
-        self.memo, self.words = Memo(self.of_unit, UNITS), Memo(self.of_word, WORDS)
+        self.memo, self.words = Memo(self.of_unit, units), Memo(self.of_word, WORDS)
 
     def of_word(self, word: str) -> bytes:
         """Of a pre-token."""
@@ -129,9 +129,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, units: int = UNITS) -> Encoder:
     """One for each worker process and file."""
-    return Encoder(path)
+    return Encoder(path, units)
 
 
 def vocabulary(name: str) -> str:
