@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .counts import most_frequent
 from .scratch import bounded_batches, stored
 
 CLUSTERED, CLASSES, OPEN = 2048, 64, 32
@@ -131,6 +132,22 @@ class _Numbers(dict):
         return out
 
 
+class _Slots(dict):
+    """Word to its place among the frequent words, else their number + its open class; remembers size words."""
+
+    def __init__(self, counts: dict[int, int], size: int = 400_000) -> None:
+        super().__init__()
+        self.places, self.size = {w: i for i, w in enumerate(counts)}, size
+
+    def __missing__(self, word: bytes) -> int:
+        out = self.places.get(name(word))
+        if out is None:
+            out = len(self.places) + open_class(word)
+        if len(self) < self.size and len(word) < 64:
+            self[word] = out
+        return out
+
+
 def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, trans: np.ndarray, n_classes: int) -> np.ndarray:
     """One sweep: each word, by place, moves to the class with which the bigram likelihood is largest.
 
@@ -162,11 +179,15 @@ def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, trans: np
 
 @dataclass
 class ClassModel:
-    """ids: hash to place of the clustered words; classes of places, open classes and the end; totals and tables."""
+    """ids: hash to place of the clustered words; classes of places, open classes and the end; totals and tables.
+
+    counts and kinds_of have the count and the open class of the frequent words, clustered ones included.
+    """
 
     ids: dict[int, int]
     classes: np.ndarray
     counts: dict[int, int]
+    kinds_of: dict[int, int]
     transition: np.ndarray
     size: np.ndarray
     kinds: np.ndarray
@@ -185,7 +206,8 @@ def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     learn = docs.where(~held_out(F.col("doc_id"))).select("text")
     counts = stored(word_counts(learn), "word-counts")
     ends = learn.count()
-    tops = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    rows = most_frequent(counts, "word", FREQUENT)
+    tops = [(r["word"], r["n"]) for r in rows]
     ids = {w: i for i, (w, _) in enumerate(tops[:CLUSTERED])}
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = CLUSTERED + OPEN + 1
@@ -210,7 +232,7 @@ def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     size_of[-1], kinds[-1] = ends, bool(ends)
     prior = (size_of + 1) / (size_of.sum() + n_all)
     transition = np.log10((trans + STRENGTH * prior) / (trans.sum(axis=1, keepdims=True) + STRENGTH))
-    return ClassModel(ids, classes, dict(tops), transition, size_of, kinds, int(whole["n"]) + ends, int(whole["v"]) + bool(ends), ends), counts.select("word", "n")
+    return ClassModel(ids, classes, dict(tops), {r["word"]: r["kind"] for r in rows}, transition, size_of, kinds, int(whole["n"]) + ends, int(whole["v"]) + bool(ends), ends), counts.select("word", "n")
 
 
 def _context(bigrams: DataFrame, classes: np.ndarray, size: int, n_all: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,39 +261,31 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        classes, floor = m.classes, np.log10(m.base_floor)
-        end = len(classes) - 1
-        numbers = _Numbers(m.ids, end - OPEN)
-        # per frequent word: place or open class, base, emission
-        known: dict[bytes, tuple[int, float, float] | None] = {}
-
-        def look(word: bytes) -> tuple[int, float, float] | None:
-            n = m.counts.get(name(word))
-            c = classes[numbers[word]]
-            out = None if n is None else (1, np.log10(n + 1) - floor, float(emission(m, np.array([n]), np.array([c]))[0]))
-            if len(known) < 300_000 and len(word) < 64:
-                known[word] = out
-            return out
-
-        nothing = object()
+        end = len(m.classes) - 1
+        floor, clustered = np.log10(m.base_floor), end - OPEN
+        slots = _Slots(m.counts)
+        # by slot: frequent words first, then the open classes of all others
+        n = np.array([*m.counts.values(), *[0] * OPEN], np.float64)
+        c = np.array([*(m.classes[m.ids[w]] if w in m.ids else -1 for w in m.counts), *m.classes[clustered:end]], np.int64)
+        for word in m.counts:
+            if word not in m.ids:
+                c[slots.places[word]] = CLASSES + m.kinds_of[word]
+        base_of, score_of = np.log10(n + 1) - floor, emission(m, n, c)
+        first_other = len(m.counts)
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "n_tokens", "n_known", "base", "score", "words", "times", "kinds")}
+            out: dict[str, list] = {x: [] for x in ("doc_id", "n_tokens", "n_known", "base", "score", "words", "times", "kinds")}
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(t)
-                seq = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-                c = classes[np.concatenate([[end], seq, [end]])]
-                total = float(m.transition[c[:-1], c[1:]].sum())
-                base = np.log10(m.ends + 1) - floor
-                seen, rare = int(m.ends > 0), []
-                for word, k in Counter(words).items():
-                    found = known.get(word, nothing)
-                    if found is nothing:
-                        found = look(word)
-                    if found is None:
-                        rare.append((name(word), k, int(classes[numbers[word]]) - CLASSES))
-                    else:
-                        seen, base, total = seen + k, base + k * found[1], total + k * found[2]
-                for x, v in zip(out.values(), (doc_id, len(words) + 1, seen, float(base), total, [x[0] for x in rare], [x[1] for x in rare], [x[2] for x in rare]), strict=True):
+                slot = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+                chain = np.concatenate([m.classes[end:], c[slot], m.classes[end:]])
+                known = slot[slot < first_other]
+                rare = np.flatnonzero(slot >= first_other)
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in rare.tolist()), np.uint64, len(rare))
+                hashes, at, times = np.unique(hashes, return_index=True, return_counts=True)
+                base = np.log10(m.ends + 1) - floor + base_of[known].sum()
+                total = m.transition[chain[:-1], chain[1:]].sum() + score_of[known].sum()
+                values = (doc_id, len(words) + 1, len(known) + int(m.ends > 0), float(base), float(total), hashes.view(np.int64), times, slot[rare[at]] - first_other)
+                for x, v in zip(out.values(), values, strict=True):
                     x.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 3)
             yield pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
