@@ -179,3 +179,14 @@ def test_rare_words_take_the_shuffled_way(spark, monkeypatch):
 def test_class_model_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.score(docs, *L.train(docs)).count() == 0
+
+
+def test_most_frequent_are_those_of_a_full_sort(spark):
+    from morphloom.llm.counts import most_frequent
+
+    rng = random.Random(12)
+    rows = [(f"w{i}", int(rng.paretovariate(0.7))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "word string, n long")
+    for k in (1, 50, 2999, 5000):
+        assert [(r["word"], r["n"]) for r in most_frequent(df, "word", k)] == sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+    assert most_frequent(df.limit(0), "word", 5) == []
