@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches, stored
+from .scratch import bounded_batches, give_back, stored
 
 PERCENT = 80
 BANDS, ROWS = 32, 5
@@ -148,6 +148,7 @@ def _features(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 {"doc_id": b.column("doc_id"), "tkey": b.column("tkey"), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())}
             )
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), "text")
     return rows.mapInArrow(run, "doc_id long, tkey long, node long, n long, bands array<bigint>, sig binary")
@@ -286,6 +287,8 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFr
                 held.append(r)
         if held:
             yield told()
+        held.clear()
+        give_back()
 
     found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long")
     return found.distinct()
@@ -331,5 +334,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') t from documents),
+s as (select doc_id, list_distinct(case when len(t) < 2 then t else list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) end) g from w),
+e as materialized (select doc_id, unnest(g) g from s),
+p as (select a.doc_id x, b.doc_id y, count(*) c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select x, y from p join s i on i.doc_id = x join s j on j.doc_id = y where 100 * c >= 80 * (len(i.g) + len(j.g) - c)),
+b as materialized (select x, y from l union all select y, x from l),
+r(doc_id, root) as (select doc_id, doc_id from s union select r.doc_id, b.y from r join b on b.x = r.root)
+select doc_id, any_value(len(g))::bigint n_shingles, min(root) component_id, doc_id = min(root) as kept from r join s using (doc_id) group by doc_id"""
+
 QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_minhash_near_dedup": _SQL}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BYTES = "8m"
-ARROW_ROWS = "2000"
+ARROW_BYTES = "2m"
+ARROW_ROWS = "500"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +47,11 @@ def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in bytes, so that a few very long texts can't fill a Python worker."""
     for key, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable
 from functools import cache
 
 LIMIT = 0x180
-UNITS, WORDS = 600_000, 100_000  # units and pre-tokens that a worker remembers unless told otherwise
+UNITS, WORDS = 150_000, 100_000  # units and pre-tokens that a worker remembers unless told otherwise
 
 
 def _class(kind: str) -> str:
