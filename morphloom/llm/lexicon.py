@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches
+from .counts import most_frequent
+from .scratch import bounded_batches, stored
 from .tokens import Encoder, encoder, vocabulary
 
 WORDS = 1 << 16
@@ -193,7 +194,7 @@ def frequent_words(docs: DataFrame, path: str, k: int = WORDS) -> list[str]:
         yield told()
 
     counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(k).collect()]
+    return [r["word"] for r in most_frequent(stored(counts, "pre-token-counts"), "word", k)]
 
 
 def build_lexicon(docs: DataFrame, path: str, k: int = WORDS) -> bytes:
