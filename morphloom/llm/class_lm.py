@@ -1,18 +1,22 @@
 """Brown class-based bigram model: exchange clustering of words, class transitions and word emissions.
 
 Counts cover every training text. Words are named by 64-bit hashes (two of n words share one with probability
-n * n / 2**65). The CLUSTERED most frequent words get one of CLASSES classes by the exchange algorithm, run in sweeps
-over the counts of their neighbouring classes; each sweep is one aggregation of the bigram table, of which only a
-matrix of CLUSTERED by CLASSES reaches the driver. All other words, seen or not, have one of OPEN classes by their
-last two bytes; the end of a text has a class of its own, in which every text also begins.
+n * n / 2**65). Every word seen LEARNED times or more gets one of CLASSES classes by exchange. The CLUSTERED most
+frequent ones begin, in sweeps over the counts of their neighbouring classes; each sweep is one aggregation of the
+bigram table, of which only a matrix of CLUSTERED by CLASSES reaches the driver. All others then move at once, each to
+the class that gains most against the transitions so far: a table of (word, neighbouring class), keyed by word, that
+stays distributed. Transitions are counted anew with the classes of all words. Words seen less often, down to never,
+have one of OPEN classes by their last two bytes: what is seen once tells how often new words come. The end of a text
+has a class of its own, in which every text also begins.
 
   P(w | v) = P(class w | class v) * P(w | class w)
   P(c | d) = (N(d, c) + STRENGTH * (N(c) + 1) / (N + number of classes)) / (N(d) + STRENGTH)
   P(w | c) = (N(w) + 1) / (N(c) + V(c) + 1) in open classes, whose last part is for words never seen; N(w) / N(c) in others
 
-Frequent words are scored from a table of bounded size that travels with the tasks. Rarer ones are summed up in each
-text and meet the full table of counts in a shuffle by word, so nothing that grows with the corpus is broadcast and no
-frequent word is shuffled.
+Frequent words have their classes and scores from a table of bounded size that travels with the tasks. Rarer ones are
+gathered in each text and meet the full table of counts and classes in a shuffle by word, so nothing that grows with
+the corpus is broadcast and no frequent word is shuffled. The chains of classes that come of it are counted for the
+transitions and scored with them.
 
 Edge cases: a null, empty or wordless text is the end alone. Repeated rows are counted and scored each; rows with null
 doc_id belong to the training part. Without training texts all counts are 0 and all scores come from the smoothing.
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,11 @@ from .counts import most_frequent
 from .scratch import bounded_batches, stored
 
 CLUSTERED, CLASSES, OPEN = 2048, 64, 32
-FREQUENT = 1 << 15  # words whose counts travel with the tasks
+LEARNED = 2  # times that a word is seen, at least, to have a learned class
+FREQUENT = 1 << 15  # words whose counts and classes travel with the tasks
 SWEEPS = 4
 STRENGTH = 20.0
+RARE = 255  # in a chain, the place of a word whose class isn't known yet
 FLUSH = 400_000  # distinct words or bigrams that a task holds before it passes them on
 _LOWER = bytes(range(256)).lower()
 
@@ -148,6 +154,101 @@ class _Slots(dict):
         return out
 
 
+class _Local(dict):
+    """Word to a number of its own; names and classes by number, the class being -1 - open class where ids lacks the word."""
+
+    def __init__(self, ids: dict[int, int]) -> None:
+        super().__init__()
+        self.ids, self.names, self.classes = ids, [], []
+
+    def __missing__(self, word: bytes) -> int:
+        h = name(word)
+        c = self.ids.get(h)
+        self.names.append(h)
+        self.classes.append(-1 - open_class(word) if c is None else c)
+        self[word] = out = len(self.names) - 1
+        return out
+
+    def clear(self) -> None:
+        super().clear()
+        self.names, self.classes = [], []
+
+
+def _contexts(docs: DataFrame, ids: dict[int, int]) -> DataFrame:
+    """(word, c, n): how often words not in ids (hash to class) follow class c, or precede class c - number of classes."""
+    sent = docs.sparkSession.sparkContext.broadcast(ids)  # CLUSTERED entries
+    n_all = CLASSES + OPEN + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = _Local(sent.value)
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[np.ndarray] = []
+        pending = 0
+
+        def told() -> pa.RecordBatch:
+            return pa.record_batch({"word": pa.array(np.array(local.names, np.int64)[keys // (2 * n_all)]), "c": pa.array((keys % (2 * n_all)).astype(np.int32)), "n": pa.array(n)})
+
+        for b in batches:
+            seqs = []
+            for t in b.column("text").to_pylist():
+                seqs.append(np.fromiter(map(local.__getitem__, words_of(t)), np.int64))
+            seq = np.concatenate([x for s in seqs for x in (s, [-1])]) if seqs else np.zeros(0, np.int64)
+            c = np.array([*local.classes, 0])[seq]
+            other = (c < 0) & (seq >= 0)
+            c = np.where(seq < 0, n_all - 1, np.where(c < 0, CLASSES - 1 - c, c))
+            at = np.flatnonzero(other)
+            parts += [seq[at] * (2 * n_all) + np.where(at > 0, c[at - 1], n_all - 1), seq[at] * (2 * n_all) + n_all + c[np.minimum(at + 1, len(c) - 1)]]
+            pending += 2 * len(at)
+            if pending > 2_000_000 or len(local) > FLUSH:
+                keys, n = _summed(keys, n, parts)
+                pending = 0
+                if len(keys) > 4 * FLUSH or len(local) > FLUSH:
+                    yield told()
+                    keys, n = keys[:0], n[:0]
+                    local.clear()
+        keys, n = _summed(keys, n, parts)
+        yield told()
+
+    return docs.select("text").mapInArrow(run, "word long, c int, n long").groupBy("word", "c").agg(F.sum("n").alias("n"))
+
+
+def best_classes(ends: np.ndarray, c: np.ndarray, n: np.ndarray, trans: np.ndarray, n_classes: int) -> np.ndarray:
+    """For each word the class with which the bigram likelihood gains most, trans being held; no empty one.
+
+    Words move at once, so all that suit no class well would meet in an empty class. Word i has the contexts ends[i - 1]
+    to ends[i] (one at least) of c and n; c is as in _contexts.
+    """
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-12))
+
+    starts, n_all = np.concatenate([[0], ends[:-1]]), len(trans)
+    # by context, then class: counts before the class, and after it
+    table = np.concatenate([trans[:, :n_classes], trans[:n_classes].T])
+    gain = np.add.reduceat(f(table[c] + n[:, None]) - f(table)[c], starts, axis=0)
+    for side, total in ((c < n_all, table[:n_all].sum(axis=0)), (c >= n_all, table[n_all:].sum(axis=0))):
+        own = np.add.reduceat(np.where(side, n, 0), starts)
+        gain -= f(total + own[:, None]) - f(total)
+    used = table.any(axis=0)
+    return np.where(used | ~used.any(), gain, -np.inf).argmax(axis=1)
+
+
+def _learned(contexts: DataFrame, trans: np.ndarray) -> DataFrame:
+    """(word, learned): a class for each word of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            near = b.column("near")
+            ends, flat = np.cumsum([len(x) for x in near]), near.flatten()
+            c, n = flat.field("c").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False).astype(np.float64)
+            yield pa.record_batch({"word": b.column("word"), "learned": pa.array(best_classes(ends, c, n, trans, CLASSES).astype(np.int32))})
+
+    # at most twice the number of classes in a list
+    return contexts.groupBy("word").agg(F.collect_list(F.struct("c", "n")).alias("near")).mapInArrow(run, "word long, learned int")
+
+
 def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, trans: np.ndarray, n_classes: int) -> np.ndarray:
     """One sweep: each word, by place, moves to the class with which the bigram likelihood is largest.
 
@@ -181,13 +282,13 @@ def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, trans: np
 class ClassModel:
     """ids: hash to place of the clustered words; classes of places, open classes and the end; totals and tables.
 
-    counts and kinds_of have the count and the open class of the frequent words, clustered ones included.
+    counts and class_of have the count and the class of the frequent words, clustered ones included.
     """
 
     ids: dict[int, int]
     classes: np.ndarray
     counts: dict[int, int]
-    kinds_of: dict[int, int]
+    class_of: dict[int, int]
     transition: np.ndarray
     size: np.ndarray
     kinds: np.ndarray
@@ -201,15 +302,18 @@ class ClassModel:
 
 
 def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of the training rows of docs, and the table (word, n) of their counts."""
+    """The model of the training rows of docs, and the table (word, n, class) of their words."""
+    model, counts = classed(docs)
+    return with_transitions(model, chains(docs.where(~held_out(F.col("doc_id"))), model, counts)), counts
+
+
+def classed(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
+    """As train, but for the transitions, which are left at 0."""
     bounded_batches(docs.sparkSession)
     learn = docs.where(~held_out(F.col("doc_id"))).select("text")
     counts = stored(word_counts(learn), "word-counts")
     ends = learn.count()
-    rows = most_frequent(counts, "word", FREQUENT)
-    tops = [(r["word"], r["n"]) for r in rows]
-    ids = {w: i for i, (w, _) in enumerate(tops[:CLUSTERED])}
-    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ids = {r["word"]: i for i, r in enumerate(most_frequent(counts, "word", CLUSTERED))}
     size = CLUSTERED + OPEN + 1
     bigrams = stored(_bigrams(learn, ids), "bigrams")
     # words start in classes by frequency; open classes and the end keep theirs
@@ -221,18 +325,44 @@ def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
         np.add.at(trans, classes, right)
         if sweep < SWEEPS:
             classes[: len(ids)] = exchange(left[: len(ids)], right[: len(ids)], classes[: len(ids)], trans, CLASSES)
+    # all other words join the classes
+    first = {w: int(classes[i]) for w, i in ids.items()}
+    begun = F.broadcast(docs.sparkSession.createDataFrame(list(first.items()) or [(None, None)], "word long, begun int"))
+    words = counts.join(begun, "word", "left")
+    moved = _learned(_contexts(learn, first), trans)
+    own = F.when(F.col("begun").isNotNull(), F.col("begun")).when(F.col("n") >= LEARNED, F.col("learned")).otherwise(CLASSES + F.col("kind"))
+    counts = stored(words.join(moved, "word", "left").select("word", "n", own.alias("class")), "word-classes")
     # sizes and kinds of the classes
     size_of, kinds = np.zeros(n_all), np.zeros(n_all)
-    for place, (w, n) in enumerate(tops[:CLUSTERED]):
-        size_of[classes[place]] += n
-        kinds[classes[place]] += 1
-    rest = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in ids] or [(None,)], "word long")), "word", "left_anti")
-    for r in rest.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        size_of[CLASSES + r["kind"]], kinds[CLASSES + r["kind"]] = r["n"], r["v"]
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        size_of[r["class"]], kinds[r["class"]] = r["n"], r["v"]
+    tokens, distinct = int(size_of.sum()), int(kinds.sum())
     size_of[-1], kinds[-1] = ends, bool(ends)
-    prior = (size_of + 1) / (size_of.sum() + n_all)
-    transition = np.log10((trans + STRENGTH * prior) / (trans.sum(axis=1, keepdims=True) + STRENGTH))
-    return ClassModel(ids, classes, dict(tops), {r["word"]: r["kind"] for r in rows}, transition, size_of, kinds, int(whole["n"]) + ends, int(whole["v"]) + bool(ends), ends), counts.select("word", "n")
+    rows = most_frequent(counts, "word", FREQUENT)
+    known, class_of = {r["word"]: r["n"] for r in rows}, {r["word"]: r["class"] for r in rows}
+    return ClassModel(ids, classes, known, class_of, np.zeros((n_all, n_all)), size_of, kinds, tokens + ends, distinct + bool(ends), ends), counts
+
+
+def with_transitions(model: ClassModel, chained: DataFrame) -> ClassModel:
+    """The model with the transitions that chains of training rows have."""
+    n_all = len(model.size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_all * n_all, np.int64)
+        for b in batches:
+            for x in b.column("chain").to_pylist():
+                c = np.frombuffer(x, np.uint8).astype(np.int64)
+                n += np.bincount(c[:-1] * n_all + c[1:], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.record_batch({"pair": pa.array(at), "n": pa.array(n[at])})
+
+    rows = chained.select("chain").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    trans = np.zeros(n_all * n_all)
+    for r in rows:
+        trans[r["pair"]] = r["n"]
+    trans = trans.reshape(n_all, n_all)
+    prior = (model.size + 1) / (model.size.sum() + n_all)
+    return replace(model, transition=np.log10((trans + STRENGTH * prior) / (trans.sum(axis=1, keepdims=True) + STRENGTH)))
 
 
 def _context(bigrams: DataFrame, classes: np.ndarray, size: int, n_all: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,61 +385,96 @@ def emission(model: ClassModel, n: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+    return scored(chains(docs, model, counts), model)
+
+
+def chains(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base, score (of the emissions), chain (a byte for each class, ends included), stored."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # bounded by FREQUENT words and the squares of the classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        end = len(m.classes) - 1
-        floor, clustered = np.log10(m.base_floor), end - OPEN
+        floor, end = np.log10(m.base_floor), bytes([CLASSES + OPEN])
         slots = _Slots(m.counts)
         # by slot: frequent words first, then the open classes of all others
         n = np.array([*m.counts.values(), *[0] * OPEN], np.float64)
-        c = np.array([*(m.classes[m.ids[w]] if w in m.ids else -1 for w in m.counts), *m.classes[clustered:end]], np.int64)
-        for word in m.counts:
-            if word not in m.ids:
-                c[slots.places[word]] = CLASSES + m.kinds_of[word]
-        base_of, score_of = np.log10(n + 1) - floor, emission(m, n, c)
+        c = np.array([*(m.class_of[w] for w in m.counts), *range(CLASSES, CLASSES + OPEN)], np.int64)
+        base_of, score_of, byte_of = np.log10(n + 1) - floor, emission(m, n, c), c.astype(np.uint8)
         first_other = len(m.counts)
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("doc_id", "n_tokens", "n_known", "base", "score", "words", "times", "kinds")}
+            out: dict[str, list] = {x: [] for x in ("doc_id", "n_tokens", "n_known", "base", "score", "words", "times", "kinds", "chain", "places")}
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(t)
                 slot = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
-                chain = np.concatenate([m.classes[end:], c[slot], m.classes[end:]])
+                chain = byte_of[slot]
                 known = slot[slot < first_other]
                 rare = np.flatnonzero(slot >= first_other)
+                chain[rare] = RARE
                 hashes = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in rare.tolist()), np.uint64, len(rare))
-                hashes, at, times = np.unique(hashes, return_index=True, return_counts=True)
+                hashes, at, place, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
                 base = np.log10(m.ends + 1) - floor + base_of[known].sum()
-                total = m.transition[chain[:-1], chain[1:]].sum() + score_of[known].sum()
-                values = (doc_id, len(words) + 1, len(known) + int(m.ends > 0), float(base), float(total), hashes.view(np.int64), times, slot[rare[at]] - first_other)
+                values = (doc_id, len(words) + 1, len(known) + int(m.ends > 0), float(base), float(score_of[known].sum()), hashes.view(np.int64), times, slot[rare[at]] - first_other, end + chain.tobytes() + end, place.astype("<u4").tobytes())
                 for x, v in zip(out.values(), values, strict=True):
                     x.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 3)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    schema = "doc_id long, n_tokens long, n_known long, base double, score double, words array<bigint>, times array<bigint>, kinds array<bigint>"
+    schema = "doc_id long, n_tokens long, n_known long, base double, score double, words array<bigint>, times array<bigint>, kinds array<bigint>, chain binary, places binary"
     told = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
     told = stored(told, "scored")
-    # the rare words of each text meet the counts; an unseen word has none
-    rare = told.select("uid", F.explode(F.arrays_zip("words", "times", "kinds")).alias("r"))
-    rare = rare.select("uid", F.col("r.words").alias("word"), F.col("r.times").alias("k"), F.col("r.kinds").alias("kind"))
-    met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    below = F.split(F.lit(",".join(repr(float(np.log10(model.size[CLASSES + i] + model.kinds[CLASSES + i] + 1))) for i in range(OPEN))), ",").cast("array<double>")
-    log = F.log10(F.col("n") + 1)
+    # the rare words of each text meet the counts; an unseen word has none and its open class
+    rare = told.select("uid", F.posexplode(F.arrays_zip("words", "times", "kinds")).alias("place", "r"))
+    rare = rare.select("uid", "place", F.col("r.words").alias("word"), F.col("r.times").alias("k"), (CLASSES + F.col("r.kinds")).cast("int").alias("kind"))
+    met = rare.join(counts, "word", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "class": F.coalesce("class", "kind")})
+
+    def table(values: np.ndarray) -> Column:
+        return F.get(F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>"), F.col("class"))
+
+    opened = F.col("class") >= CLASSES
+    below = np.log10(np.where(np.arange(len(model.size)) >= CLASSES, model.size + model.kinds + 1, np.maximum(model.size, 1)))
     sums = met.groupBy("uid").agg(
-        F.sum(F.col("k") * (log - F.lit(float(np.log10(model.base_floor))))).alias("more_base"), F.sum(F.col("k") * (log - F.get(below, F.col("kind").cast("int")))).alias("more_score"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known")
+        F.sum(F.col("k") * (F.log10(F.col("n") + 1) - F.lit(float(np.log10(model.base_floor))))).alias("more_base"), F.sum(F.col("k") * (F.log10(F.col("n") + F.when(opened, 1).otherwise(0)) - table(below))).alias("more_score"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.array_sort(F.collect_list(F.struct("place", "class"))).alias("met")
     )
     whole = told.drop("words", "times", "kinds").join(sums, "uid", "left")
-    plus = lambda c, d: F.col(c) + F.coalesce(d, F.lit(0))
-    return whole.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"))
+    plus = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
+    chain = F.arrow_udf(_filled, "binary")("chain", "places", F.transform("met", lambda x: x["class"])).alias("chain")
+    return stored(whole.select("doc_id", "n_tokens", plus("n_known", "more_known"), plus("base", "more_base"), plus("score", "more_score"), chain), "chains")
+
+
+def _filled(chains: pa.Array, places: pa.Array, classes: pa.Array) -> pa.Array:
+    """Chains with the classes of their rare words, which places tells by order."""
+    out = []
+    for x, p, c in zip(chains.to_pylist(), places.to_pylist(), classes.to_pylist(), strict=True):
+        if c:
+            chain = np.frombuffer(x, np.uint8).copy()
+            chain[chain == RARE] = np.array(c, np.uint8)[np.frombuffer(p, "<u4")]
+            x = chain.tobytes()
+        out.append(x)
+    return pa.array(out, pa.binary())
+
+
+def scored(chained: DataFrame, model: ClassModel) -> DataFrame:
+    """What score gives, from the chains."""
+
+    def run(chains: pa.Array) -> pa.Array:
+        flat = model.transition.ravel()
+        out = []
+        for x in chains.to_pylist():
+            c = np.frombuffer(x, np.uint8).astype(np.int64)
+            out.append(float(flat[c[:-1] * len(model.size) + c[1:]].sum()))
+        return pa.array(out, pa.float64())
+
+    score = F.col("score") + F.arrow_udf(run, "double")("chain")
+    return chained.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, *train(docs))
+    model, counts = classed(docs)
+    chained = chains(docs, model, counts)
+    return scored(chained, with_transitions(model, chained.where(~held_out(F.col("doc_id")))))
 
 
 QUERIES = {"op6_class_lm": op6_class_lm}

@@ -176,6 +176,40 @@ def test_rare_words_take_the_shuffled_way(spark, monkeypatch):
     assert {(r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in L.score(docs, *L.train(docs)).collect()} == whole
 
 
+def test_words_beyond_the_most_frequent_have_learned_classes(spark, monkeypatch):
+    rows = lm_docs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(L, "CLUSTERED", 12)
+    monkeypatch.setattr(L, "FREQUENT", 20)  # others meet their classes in the shuffle
+    model, table = L.train(docs)
+    learned = {r["word"]: (r["n"], r["class"]) for r in table.collect()}
+    words = lambda t: WORD.findall((t or "").lower())
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    seen = Counter(w for t in train for w in words(t))
+    of = {w: learned[L.name(w.encode())] for w in seen}
+    assert {w: n for w, (n, _) in of.items()} == seen
+    assert all((c < L.CLASSES) == (n >= L.LEARNED) for n, c in of.values())
+    # the two vocabularies never mix, so their words share no class
+    assert not {c for w, (n, c) in of.items() if n > 1 and w[0] == "a"} & {c for w, (n, c) in of.items() if n > 1 and w[0] == "b"}
+    # transitions are those of the learned classes
+    end, n_all = L.CLASSES + L.OPEN, L.CLASSES + L.OPEN + 1
+    trans, size = np.zeros((n_all, n_all)), np.zeros(n_all)
+    for t in train:
+        chain = [end, *(of[w][1] for w in words(t)), end]
+        np.add.at(trans, (chain[:-1], chain[1:]), 1)
+        np.add.at(size, chain[1:], 1)
+    prior = (size + 1) / (size.sum() + n_all)
+    assert np.allclose(10**model.transition, (trans + L.STRENGTH * prior) / (trans.sum(axis=1, keepdims=True) + L.STRENGTH))
+    kinds = Counter(c for _, c in of.values())
+    text = dict(rows)
+    for r in L.score(docs, model, table).collect():
+        toks = words(text[r["doc_id"]])
+        pairs = [of.get(w, (0, L.CLASSES + L.open_class(w.encode()))) for w in toks]
+        chain = [end, *(c for _, c in pairs), end]
+        emitted = sum(math.log10((n + 1) / (size[c] + kinds[c] + 1) if c >= L.CLASSES else n / size[c]) for n, c in pairs)
+        assert r["score"] == pytest.approx(emitted + model.transition[chain[:-1], chain[1:]].sum())
+
+
 def test_class_model_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.score(docs, *L.train(docs)).count() == 0
