@@ -247,18 +247,31 @@ def apply_batch0(spark, d):
     return out.select("word", F.array_join("toks", " ").alias("tokens"), F.size("toks").cast("long").alias("n_tokens"))
 
 
-def _train(spark: SparkSession, d: str, method: str = "freq", batches: int = 2, **more) -> T.Trained:
-    return T.train(_words(spark, d), T.TrainConfig(method=method, batch_size=BATCH, max_batches=batches, **more))
+def _train(spark: SparkSession, d: str, method: str = "freq", **more) -> T.Trained:
+    """Trained up to the default size of a vocabulary, unless max_batches is given."""
+    return T.train(_words(spark, d), T.TrainConfig(method=method, batch_size=BATCH, **more))
 
 
 @query("train_freq_2batches", f"with recursive {G2_SQL} select step, a, b, new_token, score, batch_id from log")
 def train_freq_2batches(spark, d):
+    """The first two batches of train_freq, as far as SQL follows."""
+    log = _train(spark, d, max_batches=2).log
+    return log.select(F.col("step").cast("long").alias("step"), "a", "b", "new_token", "score", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+@query("train_freq")
+def train_freq(spark, d):
     log = _train(spark, d).log
     return log.select(F.col("step").cast("long").alias("step"), "a", "b", "new_token", "score", F.col("batch_id").cast("long").alias("batch_id"))
 
 
 @query("vocab_after_2batches", f"with recursive {G2_SQL}, v as (select unnest(t) token from seg union select new_token from log) select token, row_number() over (order by token) - 1 id from v")
 def vocab_after_2batches(spark, d):
+    return _train(spark, d, max_batches=2).vocab_table().withColumn("id", F.col("id").cast("long"))
+
+
+@query("vocab_trained")
+def vocab_trained(spark, d):
     return _train(spark, d).vocab_table().withColumn("id", F.col("id").cast("long"))
 
 
@@ -272,7 +285,7 @@ for _method in S.METHODS[1:]:
 
 @query("first_snapshot")
 def first_snapshot(spark, d):
-    return _train(spark, d, "spectral", 1).z_snapshot.select("token", "id", F.round(F.abs("z").cast("double"), 4).alias("abs_z"))
+    return _train(spark, d, "spectral", max_batches=1).z_snapshot.select("token", "id", F.round(F.abs("z").cast("double"), 4).alias("abs_z"))
 
 
 _DOMAIN = f"case when regexp_matches(new_token, '[{STEM}]') and regexp_matches(new_token, '[{SUFFIX}]') then 3 when regexp_matches(new_token, '[{STEM}]') then 1 when regexp_matches(new_token, '[{SUFFIX}]') then 2 else 0 end"
@@ -370,6 +383,20 @@ def document_token_counts(spark, d):
     return E.encode_documents(docs, MERGES, vocab).select("doc_id", "n_tokens")
 
 
+@query("encode_words_trained")
+def encode_words_trained(spark, d):
+    """encode_words with the merges that train_freq learns."""
+    words = _words(spark, d)
+    out = E.encode_words(words.select("word", "cnt"), T.train(words, T.TrainConfig(batch_size=BATCH)).merges)
+    return out.select("word", F.array_join("toks", " ").alias("tokens"), F.size("toks").cast("long").alias("n_tokens"))
+
+
+@query("document_token_counts_trained")
+def document_token_counts_trained(spark, d):
+    model = _train(spark, d)
+    return E.encode_documents(C.read_documents(spark, d), model.merges, model.vocab_table()).select("doc_id", "n_tokens")
+
+
 @query("corpus_bytes", "select count(*) n_docs, (sum(strlen(text)) + count(*) - 1)::bigint n_bytes from documents")
 def corpus_bytes(spark, d):
     return Wd.corpus_bytes(C.read_documents(spark, d))
@@ -513,10 +540,18 @@ def synthetic_words_distributed(spark, d):
 
 @query("synthetic_eval")
 def synthetic_eval(spark, d):
-    """A smaller run of the synthetic stage: boundary metrics for each method."""
+    """The synthetic stage: boundary metrics for each method."""
     from .stages import synthetic_stage
 
-    return synthetic_stage(spark, C.SyntheticConfig(word_types=300), vocab_size=100).summary
+    return synthetic_stage(spark).summary
+
+
+@query("text_eval")
+def text_eval(spark, d):
+    """The study of real text: compression of held-out documents and the affix probe for each method."""
+    from .stages import text_stage
+
+    return text_stage(C.read_documents(spark, d)).summary
 
 
 @query("json_report")

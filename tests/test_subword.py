@@ -377,3 +377,72 @@ def test_sigma_is_the_median_gap(spark):
     assert Z.auto_sigma(edges, z, 0.0, 2.0).first()[0] == pytest.approx(2 * (2.0 + 1e-6))
     assert Z.auto_sigma(edges.limit(0), z).first()[0] == 1.0
     assert Z.auto_sigma(edges, z, 0.2, 1.5).first()[0] == pytest.approx(0.3)
+
+
+def naive_pmi_train(counts, k, size):
+    seg, merges = {w: list(w) for w in counts}, []
+    vocab = {c for w in counts for c in w}
+    while len(vocab) < size:
+        n, order = naive_pairs(seg, counts)
+        z, first, second = sum(n.values()), Counter(), Counter()
+        for (a, b), m in n.items():
+            first[a] += m
+            second[b] += m
+        scores = {p: math.log((m / z + 1e-12) / (first[p[0]] / z * second[p[1]] / z + 1e-12)) for p, m in n.items() if m >= 2}
+        used, chosen = set(), []
+        for p in sorted((p for p in scores if scores[p] > 0), key=lambda p: (-scores[p], order[p])):
+            if len(chosen) < k and not used & set(p):
+                used |= set(p)
+                chosen.append(p)
+        if not chosen:
+            break
+        merges += chosen
+        vocab |= {a + b for a, b in chosen}
+        for w, toks in seg.items():
+            out = []
+            while toks:
+                at = 2 if tuple(toks[:2]) in chosen else 1
+                out.append("".join(toks[:at]))
+                toks = toks[at:]
+            seg[w] = out
+    return merges
+
+
+def test_training_queries_run_to_the_end(spark, tmp_path):
+    from morphloom.plans.queries import QUERIES
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(30)) for _ in range(2)]
+    docs(spark, texts).withColumn("n_chars", F.length("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    counts = naive_words(texts)
+    merges, seg = naive_train(counts, 50, 10_000)
+    assert len(merges) > 100
+    log = QUERIES["train_freq"](spark, str(tmp_path)).orderBy("step").collect()
+    assert [(r["a"], r["b"]) for r in log] == merges
+    coded = {r["word"]: r["tokens"] for r in QUERIES["encode_words_trained"](spark, str(tmp_path)).collect()}
+    ranks = E.ranks_of(merges)
+    assert coded == {w: " ".join(naive_encode(w, ranks)) for w in seg}
+
+
+def test_pmi_query_runs_to_the_end(spark, tmp_path, monkeypatch):
+    from morphloom.plans import queries as Q
+
+    monkeypatch.setattr(Q, "BATCH", 3)  # so that a small fixture needs more than two batches
+    docs(spark, TEXTS).write.parquet(str(tmp_path / "documents.parquet"))
+    merges = naive_pmi_train(naive_words(TEXTS), 3, 4000)
+    assert len(merges) > 6
+    log = Q.QUERIES["train_pmi_only"](spark, str(tmp_path)).orderBy("step").collect()
+    assert [(r["a"], r["b"]) for r in log] == merges
+
+
+def test_studies_are_registered_whole(spark, monkeypatch):
+    from morphloom.plans import queries as Q
+    from morphloom.plans import stages
+
+    asked = []
+    monkeypatch.setattr(stages, "train", lambda words, config: asked.append(config) or (_ for _ in ()).throw(StopIteration))
+    monkeypatch.setattr(Q.C, "read_documents", lambda spark, d: docs(spark))
+    for name in ("synthetic_eval", "text_eval"):
+        with pytest.raises((StopIteration, RuntimeError)):
+            Q.QUERIES[name](spark, "")
+    assert [(c.vocab_size, c.max_batches) for c in asked] == [(2000, T.MAX_BATCHES), (4000, T.MAX_BATCHES)]
