@@ -1,7 +1,7 @@
 """Content-addressed store of token ids.
 
-Each document's id stream is cut where a rolling hash of its last ids says so, thus equal passages give equal chunks
-wherever they stand. A chunk is named by its digest and stored once. A document is kept as a recipe, the digests of
+Each document's id stream is cut where a rolling hash of its last ids says so, thus equal passages of several chunks
+share those inside wherever they stand. Chunks of about 190 ids are well below a usual document. A chunk is named by its digest and stored once. A document is kept as a recipe, the digests of
 its chunks in order, with the Merkle root over them; each part of the manifest has the root over its documents, and
 the store has one over its parts. Reading checks every chunk against its name and every recipe against its root.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .scratch import bounded_batches, new_path, stored
 from .tokens import encoder, vocabulary
 
-LEAST, MASK, MOST = 512, 2047, 8192  # ids in a chunk: at least, on average about MASK more, at most
+LEAST, MASK, MOST = 64, 127, 8192  # ids in a chunk: at least, on average about MASK more, at most
 REMEMBERED = 1_000_000  # white-space units whose ids a worker remembers
 SEEN = 500_000  # digests that a task remembers to have sent
 _OBJECT = "kind string, key binary, n long, data binary, doc_id long, chunks array<binary>"

@@ -274,3 +274,14 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     assert {x: got.get(x, x) for x in root} == {x: find(x) for x in root}
+
+
+def test_a_passage_of_a_usual_length_is_shared():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 50_000, 600)
+    names = []
+    for n in (300, 517):
+        ids = np.concatenate([rng.integers(0, 50_000, n), passage, rng.integers(0, 50_000, n)]).astype("<u4")
+        c = [0, *S.cuts(ids)]
+        names.append({S.digest(ids[a:b].tobytes()): b - a for a, b in zip(c, c[1:])})
+    assert sum(names[0][x] for x in names[0].keys() & names[1].keys()) >= 200
