@@ -3,7 +3,8 @@
 Each document's id stream is cut where a rolling hash of its last ids says so, thus equal passages of several chunks
 share those inside wherever they stand. Chunks of about 190 ids are well below a usual document. A chunk is named by its digest and stored once. A document is kept as a recipe, the digests of
 its chunks in order, with the Merkle root over them; each part of the manifest has the root over its documents, and
-the store has one over its parts. Reading checks every chunk against its name and every recipe against its root.
+the store has one over its parts. Reading checks every chunk against its name, every recipe against its root, and the
+manifest against the number of documents, the number of ids and the root of each part.
 
 The store is a folder:
   objects/kind=chunk     digest, n (ids), data: ids as 16-bit (flag 0) or 32-bit (flag 1) byte planes, zstd
@@ -231,8 +232,22 @@ def _write_manifest(spark: SparkSession, path: str) -> None:
     totals = totals.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "td"))
     whole = local.join(F.broadcast(totals), "part").withColumns({"start": F.col("start") + F.col("t0"), "seq": F.col("seq") + F.col("d0")})
     whole.sortWithinPartitions("part", "seq").drop("t0", "d0").write.option("compression", "zstd").parquet(f"{path}/manifest")
+    _parts_of(spark, path).coalesce(1).write.parquet(f"{path}/parts")
+
+
+def _parts_of(spark: SparkSession, path: str) -> DataFrame:
+    """part, n_docs, n_tokens, root as the manifest's rows have them."""
     kept = spark.read.parquet(f"{path}/manifest").select("part", "seq", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "seq")
-    kept.mapInArrow(_part_roots, "part long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/parts")
+    return kept.mapInArrow(_part_roots, "part long, n_docs long, n_tokens long, root binary")
+
+
+def _verified(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest, whose rows must give the parts as they were written. Parts are as many as shuffle partitions."""
+    told, found = ({r["part"]: tuple(r) for r in x.select("part", "n_docs", "n_tokens", "root").collect()} for x in (spark.read.parquet(f"{path}/parts"), _parts_of(spark, path)))
+    for part in sorted(told.keys() | found.keys()):
+        if told.get(part) != found.get(part):
+            raise ValueError(f"part {part} of the manifest doesn't match its root and totals")
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def store_root(spark: SparkSession, path: str) -> bytes:
@@ -270,7 +285,7 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """
     bounded_batches(spark)
     chunks = _folder(spark, path, "chunk").select("key", "n", "data").mapInArrow(_check_chunks, "key binary, size long, crc long")
-    manifest = spark.read.parquet(f"{path}/manifest")
+    manifest = _verified(spark, path)
     used = manifest.select("seq", F.posexplode("chunks").alias("pos", "key")).join(chunks, "key", "left")
     parts = used.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "size", "crc"))).alias("parts"), F.sum("size").alias("n"))
     rebuilt = F.arrow_udf(_rebuilt, "long")
@@ -293,7 +308,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         return pa.array(found, pa.list_(pa.int64()))
 
     chunks = _folder(spark, path, "chunk").withColumn("ids", F.arrow_udf(opened, "array<bigint>")("key", "n", "data")).select("key", "ids")
-    manifest = spark.read.parquet(f"{path}/manifest")
+    manifest = _verified(spark, path)
     used = manifest.select("seq", F.posexplode("chunks").alias("pos", "key")).join(chunks, "key")
     whole = used.groupBy("seq").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     return manifest.select("seq", "doc_id", "start").join(whole, "seq").select("doc_id", "start", "ids")

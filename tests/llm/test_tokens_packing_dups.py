@@ -285,3 +285,15 @@ def test_a_passage_of_a_usual_length_is_shared():
         c = [0, *S.cuts(ids)]
         names.append({S.digest(ids[a:b].tobytes()): b - a for a, b in zip(c, c[1:])})
     assert sum(names[0][x] for x in names[0].keys() & names[1].keys()) >= 200
+
+
+@pytest.mark.parametrize("wrong", ["lost", "doubled"])
+def test_a_lost_or_doubled_manifest_row_is_noticed(spark, wrong):
+    path = S.write_store(frame(spark), new_path(spark, "store"), vocabulary(FILES[1]), 2)
+    rows = spark.read.parquet(f"{path}/manifest").collect()
+    rows = rows[1:] if wrong == "lost" else [*rows, rows[0]]
+    schema = spark.read.parquet(f"{path}/manifest").schema
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/manifest")
+    for read in (S.read_summary, S.read_ids):
+        with pytest.raises(ValueError, match="manifest"):
+            read(spark, path)
