@@ -296,6 +296,11 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFr
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    return _judged(docs).drop("tkey")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """As near_duplicates, and tkey, the hash of the text."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = stored(_features(docs), "features")
@@ -315,19 +320,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", F.col("rep.doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n", "node").join(named, "node", "left")
+    out = rows.select("doc_id", "tkey", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "tkey", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns. Of repeated rows of a kept doc_id all stay.
+    """The rows of docs that near_duplicates keeps, with all their columns. Of repeated rows that are kept all stay.
 
-    What goes is mostly far less than what stays, so the ids that go are joined.
+    A row is known by its doc_id, null included, and its text: rows of one doc_id with different texts are judged
+    apart. What goes is mostly far less than what stays, so what goes is joined.
     """
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    gone = _judged(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")).distinct()
     gone = stored(gone, "gone")
-    return docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
+    return docs.join(_bounded(gone), same, "left_anti").select(*docs.columns)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,3 +297,10 @@ def test_a_lost_or_doubled_manifest_row_is_noticed(spark, wrong):
     for read in (S.read_summary, S.read_ids):
         with pytest.raises(ValueError, match="manifest"):
             read(spark, path)
+
+
+def test_rows_that_share_an_id_are_dropped_apart(spark):
+    rows = [(3, "one two three four"), (5, "a b c d e"), (5, "one two three four"), (8, "a b c d e"), (None, "a b c d e"), (None, "x y z"), (9, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in N.drop_near_duplicates(df).collect()}
+    assert kept == {(3, "one two three four"), (5, "a b c d e"), (None, "x y z"), (9, None), (None, None)}
