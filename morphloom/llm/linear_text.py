@@ -7,6 +7,8 @@ steps are numpy operations over the bytes or code points of one text.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -157,7 +159,8 @@ Row = tuple[np.ndarray, np.ndarray, int, float]
 def train_ftrl(rows: Iterable[Row], features: Features, epochs: int = 4, alpha: float = 0.5, beta: float = 0.02, l1: float = 1e-5, l2: float = 1e-4, keep_bytes: int = 200_000_000) -> Model:
     """FTRL-proximal over (slots, values, label, importance) rows in the order given.
 
-    Rows are kept for later epochs up to ``keep_bytes``; what comes after is seen in the first epoch only.
+    Rows are kept for later epochs: in memory up to ``keep_bytes``, the others in a temporary file that ends with the
+    training. Every row is seen in each epoch, in the same order.
     """
     size = 1 << features.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
@@ -175,15 +178,22 @@ def train_ftrl(rows: Iterable[Row], features: Features, epochs: int = 4, alpha:
         z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
         n[i] += g * g
 
-    kept, used = [], 0
-    for row in rows:
-        learn(row)
-        if used < keep_bytes:
-            kept.append(row)
-            used += row[0].nbytes + row[1].nbytes + 200
-    for _ in range(epochs - 1):
-        for row in kept:
+    kept, used, more = [], 0, 0
+    with tempfile.TemporaryFile() as rest:
+        for row in rows:
             learn(row)
+            if used < keep_bytes:
+                kept.append(row)
+                used += row[0].nbytes + row[1].nbytes + 200
+            elif epochs > 1:
+                pickle.dump(row, rest, pickle.HIGHEST_PROTOCOL)
+                more += 1
+        for _ in range(epochs - 1):
+            for row in kept:
+                learn(row)
+            rest.seek(0)
+            for _ in range(more):
+                learn(pickle.load(rest))
     w = weight(np.arange(size + 1))
     return Model(features, w[:-1].astype(np.float32), float(w[-1]))
 

@@ -224,3 +224,10 @@ def test_most_frequent_are_those_of_a_full_sort(spark):
     for k in (1, 50, 2999, 5000):
         assert [(r["word"], r["n"]) for r in most_frequent(df, "word", k)] == sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
     assert most_frequent(df.limit(0), "word", 5) == []
+
+
+def test_rows_beyond_the_memory_are_learned_from_in_each_epoch():
+    rng = np.random.default_rng(5)
+    rows = [(rng.choice(1 << 8, 12, replace=False).astype(np.int32), rng.random(12), int(i % 3 == 0), 1.0) for i in range(60)]
+    whole, spilled = (X.train_ftrl(rows, X.Features(bits=8), keep_bytes=k) for k in (10**9, 2000))
+    assert np.array_equal(whole.weights, spilled.weights) and whole.bias == spilled.bias
