@@ -12,7 +12,8 @@ nearest), and equal queries are searched once.
 
 Edge cases: the k nearest other ids are given, by distance, then id; fewer if there are fewer. A vector is no
 neighbour of its own id. Null vectors and null ids are left out. Repeated rows of an id count once for equal codes.
-The code has one bit for each component, which is whether it is positive; nulls inside a vector count as 0.
+The code has one bit for each component, which is whether it is positive; nulls inside a vector count as 0. A vector of
+more than 64 components is an error.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ K = 10
 
 
 def sign_code(vector: Column) -> Column:
-    """64 bits as a long: bit i tells whether component i is positive."""
+    """64 bits as a long: bit i tells whether component i is positive. Longer vectors stop the query."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     placed = F.transform(F.slice(vector, 1, WIDTH), lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(none))
-    return F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    code = F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    return F.when(F.size(vector) > WIDTH, F.raise_error(F.lit(f"a vector has more than {WIDTH} components")).cast("long")).otherwise(code)
 
 
 def segments_for(n: int) -> int:

@@ -116,3 +116,10 @@ def test_native_plans_have_no_python(spark):
     plans = [U.judge_urls(pages, U.RULES, spark.createDataFrame([("a.org",)], "key string")), chat.render_chats(chats(spark, {1: [("user", "a")]}))]
     for df in plans:
         assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Pandas", "ArrowEval"))
+
+
+def test_longer_vectors_are_refused(spark):
+    whole, longer = (spark.createDataFrame([([1.0] * n,)], "v array<float>").select(hamming.sign_code(F.col("v"))) for n in (64, 65))
+    assert whole.first()[0] == -1
+    with pytest.raises(Exception, match="more than 64 components"):
+        longer.collect()
