@@ -6,9 +6,10 @@ lie before it, so that the sum along a path is the word's number, under which it
 out in a few flat arrays (states overlap in one table of arcs) that workers map into memory from a file without a name.
 Words that it lacks are merged by the tokenizer's model, which is exact; short ones are remembered up to a bound.
 
-Edge cases: null and empty texts have no ids and decode to the empty text. Texts outside the vetted range of
-characters and texts with the vocabulary's added tokens are encoded by the library as a whole (see ``tokens``).
-Repeated rows are encoded each; an empty table compiles an empty automaton. Other columns of the documents are kept.
+Edge cases: null and empty texts have no ids and decode to the empty text. Texts of any script and texts with the
+vocabulary's added tokens come through the lexicon too: ``tokens`` tells how they are cut. Very long texts are coded
+whole; an Arrow batch then holds that text alone. The file of the mapping lies in the worker's own temporary folder and
+is made anew by any worker that needs it, so nothing is lost with an executor. Repeated rows are encoded each; an empty table compiles an empty automaton. Other columns of the documents are kept.
 """
 
 from __future__ import annotations
@@ -180,17 +181,17 @@ def frequent_words(docs: DataFrame, path: str, k: int = WORDS) -> list[str]:
         def told() -> pa.RecordBatch:
             words: Counter[str] = Counter()
             for unit, n in seen.items():
-                for word in enc.find(unit):
+                for word in enc.pre_tokens(unit):
                     words[word] += n
             return pa.record_batch({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                if text and not enc.is_odd(text):
-                    seen.update(text.lower().split())
-                    if len(seen) > FLUSH:
-                        yield told()
-                        seen.clear()
+                for part in enc.without_added(text or ""):
+                    seen.update(enc.units(part))
+                if len(seen) > FLUSH:
+                    yield told()
+                    seen.clear()
         yield told()
 
     counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
