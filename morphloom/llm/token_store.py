@@ -1,13 +1,14 @@
 """Content-addressed store of token ids.
 
 Each document's id stream is cut where a rolling hash of its last ids says so, thus equal passages of several chunks
-share those inside wherever they stand. Chunks of about 190 ids are well below a usual document. A chunk is named by its digest and stored once. A document is kept as a recipe, the digests of
-its chunks in order, with the Merkle root over them; each part of the manifest has the root over its documents, and
-the store has one over its parts. Reading checks every chunk against its name, every recipe against its root, and the
-manifest against the number of documents, the number of ids and the root of each part.
+share those inside wherever they stand. Chunks of about 190 ids are well below a usual document. A chunk is named by
+its digest and stored once. A document is kept as a recipe, the digests of its chunks in order, with the Merkle root
+over them; each part of the manifest has the root over its documents, and the store has one over its parts. Reading
+checks every chunk against its name, every recipe against its root, and the manifest against the number of documents,
+the number of ids and the root of each part.
 
 The store is a folder:
-  objects/kind=chunk     digest, n (ids), data: ids as 16-bit (flag 0) or 32-bit (flag 1) byte planes, zstd
+  objects/kind=chunk     digest, n (ids), data: little-endian ids of 16 bits, or of 32 where one needs it; Parquet compresses
   manifest               doc_id, seq, start, n_tokens, chunks (digests in order), root; sorted, in ascending doc_id order
   parts                  part, first_start, n_docs, n_tokens, root
 Texts are encoded once. Chunks and raw recipes leave that pass together and meet in one shuffle by digest; a task
@@ -15,7 +16,8 @@ sends a chunk only once however many copies it read.
 
 Edge cases: a null or empty text is a stream of the end id alone. Repeated rows are documents of their own that share
 their chunks; among equal doc_ids the order is that of their digests. Null doc_id comes first. An empty table gives an
-empty store. Only doc_id and text are read, so further columns don't matter.
+empty store. Only doc_id and text are read, so further columns don't matter. A very long text is encoded as one and
+cut in slices, so what it takes is a small multiple of its own size.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches, new_path, stored
+from .scratch import bounded_batches, give_back, new_path, stored
 from .tokens import encoder, vocabulary
 
 LEAST, MASK, MOST = 64, 127, 8192  # ids in a chunk: at least, on average about MASK more, at most
-REMEMBERED = 1_000_000  # white-space units whose ids a worker remembers
-SEEN = 500_000  # digests that a task remembers to have sent
+REMEMBERED = 80 << 20  # bytes for white-space units whose ids a worker remembers
+SEEN = 100_000  # digests that a task remembers to have sent
+SLICE = 1 << 18  # ids whose rolling hashes are worked out at a time
 _OBJECT = "kind string, key binary, n long, data binary, doc_id long, chunks array<binary>"
 
 
@@ -50,26 +53,44 @@ def _gear() -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks. A cut depends on the 16 ids before it and, through LEAST and MOST, on the cut before."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    h = _gear()[ids & 0xFFFF]
-    for k in (1, 2, 4, 8):
-        h[k:] += h[:-k].copy() << np.uint64(k)
-    out, at = [], 0
-    for p in (np.flatnonzero((h >> np.uint64(20)) & np.uint64(MASK) == 0) + 1).tolist():
-        while p - at > MOST:
+def _candidates(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last 16 ids asks for a cut."""
+    found = []
+    for lo in range(0, len(ids), SLICE):
+        skip = min(lo, 15)
+        h = _gear()[ids[lo - skip : lo + SLICE] & 0xFFFF]
+        for k in (1, 2, 4, 8):
+            h[k:] += h[:-k].copy() << np.uint64(k)
+        found.append(np.flatnonzero((h[skip:] >> np.uint64(20)) & np.uint64(MASK) == 0) + (lo + 1))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def cuts(ids: np.ndarray, ends: list[int] | None = None) -> list[int]:
+    """Ends of the chunks of documents that stand one after another and end at ends (one document, if not given).
+
+    A cut depends on the 16 ids before it and, through LEAST and MOST, on the cut before; as no chunk is shorter than
+    LEAST but the last of a document, ids of other documents never matter.
+    """
+    ends = [len(ids)] * bool(len(ids)) if ends is None else ends
+    places = _candidates(ids)
+    upto = np.searchsorted(places, ends).tolist()
+    places = places.tolist()
+    out, at, i = [], 0, 0
+    for end, to in zip(ends, upto, strict=True):
+        for p in places[i:to]:
+            while p - at > MOST:
+                at += MOST
+                out.append(at)
+            if p - at >= LEAST:
+                out.append(p)
+                at = p
+        while end - at > MOST:
             at += MOST
             out.append(at)
-        if p - at >= LEAST and p < n:
-            out.append(p)
-            at = p
-    while n - at > MOST:
-        at += MOST
-        out.append(at)
-    return [*out, n] if at < n else out
+        if end > at:
+            out.append(end)
+        at, i = end, to
+    return out
 
 
 def digest(raw: bytes) -> bytes:
@@ -85,21 +106,13 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-@lru_cache
-def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-
-
-def pack(ids: np.ndarray) -> bytes:
-    wide = int(ids.max()) > 0xFFFF if len(ids) else False
-    planes = ids.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(ids), -1).T
-    return bytes([wide]) + _zstd()[0].compress(planes.tobytes())
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    size = 4 if data[0] else 2
-    raw = _zstd()[1].decompress(data[1:], max_output_size=n * size)
-    return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(size, n).T.tobytes(), "<u4" if size == 4 else "<u2").astype("<u4")
+def widened(column: pa.Array, sizes: np.ndarray) -> list[memoryview]:
+    """Each chunk's ids as little-endian 32-bit bytes, from its stored form."""
+    if (pc.binary_length(column).to_numpy(zero_copy_only=False) == 2 * sizes).all():  # one step for all of them
+        flat = b"".join(column.to_pylist())
+        raw, ends = memoryview(np.frombuffer(flat, "<u2").astype("<u4").tobytes()), (4 * np.cumsum(sizes)).tolist()
+        return [raw[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+    return [memoryview(x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x, n in zip(column.to_pylist(), sizes.tolist(), strict=True)]
 
 
 def _times(matrix: list[int], vector: int) -> int:
@@ -125,21 +138,28 @@ def _skip(power: int) -> list[int]:
 
 
 @lru_cache
-def _skip_table(power: int) -> list[list[int]]:
+def _skip_table(power: int) -> list[np.ndarray]:
     """The same for each value of each byte of a CRC."""
-    return [[_times(_skip(power)[8 * i : 8 * i + 8], x) for x in range(256)] for i in range(4)]
+    return [np.array([_times(_skip(power)[8 * i : 8 * i + 8], x) for x in range(256)], np.int64) for i in range(4)]
 
 
-def crc_join(first: int, second: int, length: int) -> int:
-    """CRC32 of two byte strings put together, from theirs and the second's length."""
-    power = 0
-    while length and first:
-        if length & 1:
-            a, b, c, d = _skip_table(power)
-            first = a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24]
-        length >>= 1
-        power += 1
-    return first ^ second
+def crc_joined(crcs: np.ndarray, sizes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """CRC32 of each owner's byte strings put together, from theirs and their lengths; owner ascends.
+
+    That of a string with n bytes after it counts as if n zero bytes followed; those of one owner are added by XOR.
+    """
+    ends = np.cumsum(sizes)
+    last = np.zeros(owners, np.int64)
+    last[owner] = ends  # of several the last is kept
+    after, out = last[owner] - ends, crcs.astype(np.int64)
+    for power in range(int(after.max(initial=0)).bit_length()):
+        at = np.flatnonzero(after >> power & 1)
+        a, b, c, d = _skip_table(power)
+        x = out[at]
+        out[at] = a[x & 255] ^ b[x >> 8 & 255] ^ c[x >> 16 & 255] ^ d[x >> 24]
+    whole = np.zeros(owners, np.int64)
+    np.bitwise_xor.at(whole, owner, out)
+    return whole
 
 
 def _objects(path: str, end: int):
@@ -147,29 +167,41 @@ def _objects(path: str, end: int):
         enc, sent = encoder(path, REMEMBERED), set()
         tail = np.array([end], "<u4").tobytes()
         for b in batches:
-            rows: dict[str, list] = {c: [] for c in ("kind", "key", "n", "data", "doc_id", "chunks")}
-
-            def add(*values, rows=rows) -> None:
-                for c, v in zip(rows, values, strict=True):
-                    rows[c].append(v)
-
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = enc.encode(text) + tail
-                ids, at, names = np.frombuffer(raw, "<u4"), 0, []
-                for to in cuts(ids):
-                    names.append(name := digest(raw[4 * at : 4 * to]))
-                    if name not in sent:
-                        if len(sent) < SEEN:
-                            sent.add(name)
-                        add("chunk", name, to - at, pack(ids[at:to]), None, None)
-                    at = to
-                add("recipe", names[0], len(ids), None, doc_id, names)
-            kinds = [pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary())]
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
+            if not b.num_rows:
+                continue
+            raws = [enc.encode(t) + tail for t in b.column(1).to_pylist()]
+            n = np.array([len(x) // 4 for x in raws], np.int64)
+            raw = memoryview(b"".join(raws))
+            raws.clear()
+            ids, ends = np.frombuffer(raw, "<u4"), np.cumsum(n)
+            to = cuts(ids, ends.tolist())
+            names = [digest(raw[4 * lo : 4 * hi]) for lo, hi in zip([0, *to], to, strict=False)]
+            fresh = []
+            for i, x in enumerate(names):
+                if x not in sent:
+                    fresh.append(i)
+                    if len(sent) < SEEN:
+                        sent.add(x)
+            wide = len(ids) and int(ids.max()) > 0xFFFF
+            short = raw if wide else memoryview(ids.astype("<u2").tobytes())
+            starts, width = [0, *to], 4 if wide else 2
+            data = [short[width * starts[i] : width * to[i]] for i in fresh]
+            if wide:
+                data = [x if int(i.max()) > 0xFFFF else i.astype("<u2").tobytes() for x in data for i in (np.frombuffer(x, "<u4"),)]
+            sizes = np.diff(starts)
+            yield _rows("chunk", len(fresh), key=pa.array([names[i] for i in fresh], pa.binary()), n=pa.array(sizes[fresh]), data=pa.array(data, pa.binary()))
+            first = np.concatenate([[0], np.searchsorted(to, ends) + 1]).astype(np.int32)
+            yield _rows("recipe", len(n), key=pa.array([names[i] for i in first[:-1]], pa.binary()), n=pa.array(n), doc_id=b.column(0), chunks=pa.ListArray.from_arrays(pa.array(first), pa.array(names, pa.binary())))
+        give_back()
 
     return run
 
 
+def _rows(kind: str, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"key": pa.binary(), "n": pa.int64(), "data": pa.binary(), "doc_id": pa.int64(), "chunks": pa.list_(pa.binary())}
+    return pa.record_batch({"kind": pa.array([kind] * rows, pa.string())} | {c: columns.get(c, pa.nulls(rows, t)) for c, t in kinds.items()})
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end: int) -> str:
     """Write docs (doc_id long, text) as a store at path; returns path."""
     spark = docs.sparkSession
@@ -255,26 +287,32 @@ def store_root(spark: SparkSession, path: str) -> bytes:
     return merkle([bytes(r["root"]) for r in spark.read.parquet(f"{path}/parts").orderBy("part").collect()])
 
 
+def _checked(keys: pa.Array, sizes: np.ndarray, data: pa.Array) -> list[memoryview]:
+    """The ids of chunks, each of which must match its name."""
+    raws = widened(data, sizes)
+    for key, raw in zip(keys.to_pylist(), raws, strict=True):
+        if digest(raw) != key:
+            raise ValueError(f"chunk {key.hex()} doesn't match its name")
+    return raws
+
+
 def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        crcs = []
-        for key, n, data in zip(*(b.column(c).to_pylist() for c in ("key", "n", "data")), strict=True):
-            raw = unpack(data, n).tobytes()
-            if digest(raw) != key:
-                raise ValueError(f"chunk {key.hex()} doesn't match its name")
-            crcs.append(zlib.crc32(raw))
-        yield pa.record_batch({"key": b.column("key"), "size": b.column("n"), "crc": pa.array(crcs, pa.int64())})
+        raws = _checked(b.column("key"), b.column("n").to_numpy(zero_copy_only=False), b.column("data"))
+        yield pa.record_batch({"key": b.column("key"), "size": b.column("n"), "crc": pa.array(map(zlib.crc32, raws), pa.int64())})
+    give_back()
 
 
 def _rebuilt(parts: pa.Array, roots: pa.Array) -> pa.Array:
     """CRC32 of each document from those of its chunks; null where recipe and root differ."""
-    out = []
-    for chunks, root in zip(parts.to_pylist(), roots.to_pylist(), strict=True):
-        crc = 0
-        for c in chunks:
-            crc = crc_join(crc, c["crc"], 4 * c["size"])
-        out.append(crc if merkle([c["key"] for c in chunks]) == root else None)
-    return pa.array(out, pa.int64())
+    n = np.array([len(x) for x in parts], np.int64)
+    flat = parts.flatten()
+    if flat.field("crc").null_count:
+        raise ValueError("a chunk of a recipe is missing")
+    crcs, sizes = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("crc", "size"))
+    whole = crc_joined(crcs, 4 * sizes, np.repeat(np.arange(len(n)), n), len(n)).tolist()
+    keys, ends = flat.field("key").to_pylist(), np.cumsum(n).tolist()
+    return pa.array([x if merkle(keys[lo:hi]) == root else None for x, lo, hi, root in zip(whole, [0, *ends], ends, roots.to_pylist(), strict=False)], pa.int64())
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
@@ -299,13 +337,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     bounded_batches(spark)
 
     def opened(keys: pa.Array, sizes: pa.Array, data: pa.Array) -> pa.Array:
-        found = []
-        for key, n, x in zip(keys.to_pylist(), sizes.to_pylist(), data.to_pylist(), strict=True):
-            ids = unpack(x, n)
-            if digest(ids.tobytes()) != key:
-                raise ValueError(f"chunk {key.hex()} doesn't match its name")
-            found.append(ids.astype(np.int64))
-        return pa.array(found, pa.list_(pa.int64()))
+        raws = _checked(keys, sizes.to_numpy(zero_copy_only=False), data)
+        return pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in raws], pa.list_(pa.int64()))
 
     chunks = _folder(spark, path, "chunk").withColumn("ids", F.arrow_udf(opened, "array<bigint>")("key", "n", "data")).select("key", "ids")
     manifest = _verified(spark, path)

@@ -20,7 +20,7 @@ from morphloom.llm import near_dups as N
 from morphloom.llm import packing as P
 from morphloom.llm import token_store as S
 from morphloom.llm.scratch import new_path
-from morphloom.llm.tokens import encoder, vocabulary
+from morphloom.llm.tokens import Encoder, encoder, vocabulary
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,7 +107,7 @@ def test_a_broken_chunk_is_noticed():
     import pyarrow as pa
 
     ids = np.arange(50, dtype="<u4")
-    batch = pa.record_batch({"key": [S.digest(ids.tobytes())], "n": [50], "data": [S.pack(ids[::-1])]})
+    batch = pa.record_batch({"key": [S.digest(ids.tobytes())], "n": [50], "data": [ids[::-1].astype("<u2").tobytes()]})
     with pytest.raises(ValueError, match="doesn't match"):
         list(S._check_chunks(iter([batch])))
 
@@ -125,9 +125,29 @@ def test_chunks_survive_shifts():
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.binary(max_size=200), st.binary(max_size=200))
-def test_crc_join(a, b):
-    assert S.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+@given(st.lists(st.lists(st.binary(max_size=300), min_size=1, max_size=5), max_size=4))
+def test_crc_joined(strings):
+    flat, owner = [x for xs in strings for x in xs], [i for i, xs in enumerate(strings) for _ in xs]
+    got = S.crc_joined(np.array([zlib.crc32(x) for x in flat], np.int64), np.array([len(x) for x in flat], np.int64), np.array(owner, np.int64), len(strings))
+    assert got.tolist() == [zlib.crc32(b"".join(xs)) for xs in strings]
+
+
+def test_cuts_of_documents_in_a_row_are_those_of_each():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 50_000, n).astype("<u4") for n in (1, 63, 64, 65, 900, 1, 30_000, 200)] + [np.full(20_000, 7, "<u4")]
+    ends = np.cumsum([len(x) for x in docs])
+    want = [int(e - len(x) + c) for x, e in zip(docs, ends) for c in S.cuts(x)]
+    assert S.cuts(np.concatenate(docs), ends.tolist()) == want
+
+
+def test_stored_forms_of_chunks_are_widened():
+    import pyarrow as pa
+
+    parts = [np.arange(5, dtype="<u4"), np.array([70_000, 1], "<u4"), np.arange(3, dtype="<u4")]
+    narrow = [parts[0].astype("<u2").tobytes(), parts[2].astype("<u2").tobytes()]
+    assert [bytes(x) for x in S.widened(pa.array(narrow, pa.binary()), np.array([5, 3]))] == [parts[0].tobytes(), parts[2].tobytes()]
+    mixed = [narrow[0], parts[1].tobytes(), narrow[1]]
+    assert [bytes(x) for x in S.widened(pa.array(mixed, pa.binary()), np.array([5, 2, 3]))] == [x.tobytes() for x in parts]
 
 
 def test_empty_store(spark):
@@ -304,3 +324,56 @@ def test_rows_that_share_an_id_are_dropped_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {(r["doc_id"], r["text"]) for r in N.drop_near_duplicates(df).collect()}
     assert kept == {(3, "one two three four"), (5, "a b c d e"), (None, "x y z"), (9, None), (None, None)}
+
+
+def test_store_of_repeated_and_null_ids(spark):
+    rows = [(5, "one two"), (5, "one two"), (5, "three"), (None, "four"), (None, None), (-1, "x")]
+    path = S.write_store(spark.createDataFrame(rows, "doc_id long, text string"), new_path(spark, "store"), vocabulary(FILES[1]), 2)
+    t = library(FILES[1])
+    want = sorted((i is not None, i or 0, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for i, x in rows)
+    got = S.read_ids(spark, path).orderBy("start").collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids"]) for r in got) == want
+    assert [r["doc_id"] for r in got] == [None, None, -1, 5, 5, 5]
+    assert [r["start"] for r in got] == [sum(len(r["ids"]) for r in got[:i]) for i in range(len(got))]
+    assert sorted(tuple(r)[:3] for r in S.read_summary(spark, path).where("doc_id is not null").collect()) == sorted((r["doc_id"], r["start"], len(r["ids"])) for r in got if r["doc_id"] is not None)
+
+
+def test_a_recipe_that_does_not_match_its_root_is_noticed(spark):
+    texts = [" ".join(random.Random(i).choices(["alpha", "beta", "gamma"], k=900)) for i in range(2)]
+    path = S.write_store(frame(spark, texts), new_path(spark, "store"), vocabulary(FILES[1]), 2)
+    rows = [r.asDict() for r in spark.read.parquet(f"{path}/manifest").collect()]
+    rows[0]["chunks"] = rows[0]["chunks"][::-1]
+    schema = spark.read.parquet(f"{path}/manifest").schema
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/manifest")
+    with pytest.raises(Exception, match="root"):
+        S.read_summary(spark, path).collect()
+
+
+WORLD = ["it\u2019s", "a", "\u201cquoted\u201d", "text\u2014with", "\u65e5\u672c\u8a9e", "\u30c6\u30b9\u30c8", "\U0001f600", "\U0001f469\u200d\U0001f467", "nai\u0308ve", "\u0130stanbul", "\u03a3\u0391\u03a3", "\u0661\u0662", "\u0939\u093f", "\u3000", "\xa0", "\u200b", "x\xb2", "<|endoftext|>", "<|startoftext|>", "\x1c", "\t", "\r\n", "\n", "don't", "12"]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_any_script_is_encoded_as_the_library_does(name):
+    rng, enc, t = random.Random(4), Encoder(vocabulary(name)), library(name)
+    for _ in range(3000):
+        text = "".join(rng.choice(WORLD) + rng.choice([" ", "", " "]) for _ in range(rng.randint(1, 8)))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_of_any_script_come_through_the_lexicon(spark):
+    path = vocabulary(FILES[0])
+    docs = frame(spark, ["it\u2019s a \u201cquoted\u201d text \u65e5\u672c\u8a9e \U0001f600"] * 3)
+    words = X.frequent_words(docs, path)
+    assert {"\u65e5\u672c\u8a9e", "quoted", "\u201c", "\U0001f600", "\u2019", "s"} <= set(words)
+    enc = X.LexiconEncoder(path, X.build_lexicon(docs, path))
+    asked = []
+    enc.lexicon.find, find = (lambda w: asked.append(find(w)) or asked[-1]), enc.lexicon.find
+    for r in docs.collect():
+        enc.encode(r["text"])
+    assert len(asked) >= len(words) and all(x is not None for x in asked)
+
+
+def test_lexicon_of_no_texts(spark):
+    path = vocabulary(FILES[0])
+    docs = frame(spark).limit(0)
+    assert X.encode_documents(docs, path, X.build_lexicon(docs, path)).count() == 0
