@@ -15,7 +15,7 @@ Texts are encoded once. Chunks and raw recipes leave that pass together and meet
 sends a chunk only once however many copies it read.
 
 Edge cases: a null or empty text is a stream of the end id alone. Repeated rows are documents of their own that share
-their chunks; among equal doc_ids the order is that of their digests. Null doc_id comes first. An empty table gives an
+their chunks; among equal doc_ids the order is that of a hash of their roots. Null doc_id comes first. An empty table gives an
 empty store. Only doc_id and text are read, so further columns don't matter. A very long text is encoded as one and
 cut in slices, so what it takes is a small multiple of its own size.
 """
@@ -42,7 +42,7 @@ LEAST, MASK, MOST = 64, 127, 8192  # ids in a chunk: at least, on average about
 REMEMBERED = 80 << 20  # bytes for white-space units whose ids a worker remembers
 SEEN = 100_000  # digests that a task remembers to have sent
 SLICE = 1 << 18  # ids whose rolling hashes are worked out at a time
-_OBJECT = "kind string, key binary, n long, data binary, doc_id long, chunks array<binary>"
+_OBJECT = "kind string, key binary, n long, data binary, doc_id long, chunks array<binary>, root binary"
 
 
 @lru_cache
@@ -191,14 +191,15 @@ def _objects(path: str, end: int):
             sizes = np.diff(starts)
             yield _rows("chunk", len(fresh), key=pa.array([names[i] for i in fresh], pa.binary()), n=pa.array(sizes[fresh]), data=pa.array(data, pa.binary()))
             first = np.concatenate([[0], np.searchsorted(to, ends) + 1]).astype(np.int32)
-            yield _rows("recipe", len(n), key=pa.array([names[i] for i in first[:-1]], pa.binary()), n=pa.array(n), doc_id=b.column(0), chunks=pa.ListArray.from_arrays(pa.array(first), pa.array(names, pa.binary())))
+            roots = pa.array([merkle(names[lo:hi]) for lo, hi in zip(first.tolist(), first[1:].tolist(), strict=False)], pa.binary())
+            yield _rows("recipe", len(n), key=roots, n=pa.array(n), doc_id=b.column(0), chunks=pa.ListArray.from_arrays(pa.array(first), pa.array(names, pa.binary())), root=roots)
         give_back()
 
     return run
 
 
 def _rows(kind: str, rows: int, **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"key": pa.binary(), "n": pa.int64(), "data": pa.binary(), "doc_id": pa.int64(), "chunks": pa.list_(pa.binary())}
+    kinds = {"key": pa.binary(), "n": pa.int64(), "data": pa.binary(), "doc_id": pa.int64(), "chunks": pa.list_(pa.binary()), "root": pa.binary()}
     return pa.record_batch({"kind": pa.array([kind] * rows, pa.string())} | {c: columns.get(c, pa.nulls(rows, t)) for c, t in kinds.items()})
 
 
@@ -221,13 +222,12 @@ def _folder(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local starts and places of sorted recipes, and their roots."""
+    """Local starts and places of sorted recipes."""
     part, start, seq = TaskContext.get().partitionId(), 0, 0
     for b in batches:
-        n = np.array(b.column("n").to_pylist(), np.int64)
+        n = b.column("n").to_numpy(zero_copy_only=False)
         upto = start + np.cumsum(n)
-        roots = [merkle(x) for x in b.column("chunks").to_pylist()]
-        yield pa.record_batch({"part": pa.array(np.full(len(n), part)), "seq": pa.array(seq + np.arange(len(n))), "doc_id": b.column("doc_id"), "start": pa.array(upto - n), "n_tokens": pa.array(n), "chunks": b.column("chunks"), "root": pa.array(roots, pa.binary())})
+        yield pa.record_batch({"part": pa.array(np.full(len(n), part)), "seq": pa.array(seq + np.arange(len(n))), "doc_id": b.column("doc_id"), "start": pa.array(upto - n), "n_tokens": b.column("n")} | {c: b.column(c) for c in ("chunks", "root")})
         start, seq = (int(upto[-1]) if len(n) else start), seq + len(n)
 
 
@@ -254,7 +254,7 @@ def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _write_manifest(spark: SparkSession, path: str) -> None:
-    recipes = _folder(spark, path, "recipe").select("doc_id", "n", "chunks").withColumn("tie", F.xxhash64("chunks"))
+    recipes = _folder(spark, path, "recipe").select("doc_id", "n", "chunks", "root").withColumn("tie", F.xxhash64("root"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     local = recipes.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     local = stored(local.mapInArrow(_number, "part long, seq long, doc_id long, start long, n_tokens long, chunks array<binary>, root binary"), "recipes")

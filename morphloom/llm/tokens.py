@@ -20,7 +20,7 @@ from functools import cache
 
 VETTED = 0x180  # code points below are cut by Python's re
 UNIT_BYTES, WORD_BYTES = 32 << 20, 20 << 20  # memory for units and pre-tokens that a worker remembers unless told otherwise
-_ENTRY = 200  # bytes that an entry of a memo takes besides its characters and ids
+_ENTRY = 140  # bytes that an entry of a memo takes besides its characters and ids: two objects and its place in the table
 
 
 def _class(kind: str) -> str:
@@ -63,6 +63,9 @@ def _blank() -> re.Pattern:
     return re.compile(r"[\t-\r ]+")
 
 
+_SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~")  # ASCII signs but for the apostrophe and the backslash
+
+
 class Mixed(Exception):
     """A text's white space is more than lone spaces and line feeds, so it can't be cut there."""
 
@@ -76,9 +79,9 @@ class Memo(dict):
 
     def __missing__(self, word: str) -> bytes:
         out = self.make(word)
-        if self.room > 0 and len(word) < 64:
+        if self.room > 0 and (n := len(word)) < 64:
             self[word] = out
-            self.room -= _ENTRY + len(word) + len(out)
+            self.room -= _ENTRY + n + len(out)
         return out
 
 
@@ -109,6 +112,8 @@ class Encoder:
         """Of a part of a text between spaces; where white space counts, a space goes before it unless it starts with a line feed."""
         if unit.isalpha() and (unit.isascii() or not self.odd.search(unit)):
             return self.of_word(unit if self.lower else " " + unit)
+        if unit.isascii() and unit[-1:] in _SIGNS and (letters := unit[:-1]).isalpha():  # a word and a sign, as most others are
+            return self.memo[letters] + self.words[unit[-1]]
         if not self.lower:
             if not unit or unit[1:].split() != [unit[1:]] and unit[1:] or unit == "\n" or unit[0].isspace() and unit[0] != "\n":
                 raise Mixed
