@@ -1,13 +1,14 @@
 """Brown class-based bigram model: exchange clustering of words, class transitions and word emissions.
 
 Counts cover every training text. Words are named by 64-bit hashes (two of n words share one with probability
-n * n / 2**65). Every word seen LEARNED times or more gets one of CLASSES classes by exchange. The CLUSTERED most
-frequent ones begin, in sweeps over the counts of their neighbouring classes; each sweep is one aggregation of the
-bigram table, of which only a matrix of CLUSTERED by CLASSES reaches the driver. All others then move at once, each to
-the class that gains most against the transitions so far: a table of (word, neighbouring class), keyed by word, that
-stays distributed. Transitions are counted anew with the classes of all words. Words seen less often, down to never,
-have one of OPEN classes by their last two bytes: what is seen once tells how often new words come. The end of a text
-has a class of its own, in which every text also begins.
+n * n / 2**65). Every word seen LEARNED times or more gets one of CLASSES classes. The CLUSTERED most frequent ones
+begin: one word at a time moves to the class with which the likelihood of the class bigrams is largest, against counts
+that are always up to date, so the likelihood never falls; sweeps go on until no word moves or a sweep gains too
+little. The driver does this on the bigrams of these words, a table whose size CLUSTERED bounds. Then every other word
+joins the class that its own neighbours make likeliest, the classes of the first being held: each task adds up the
+neighbouring classes of its words, and they meet in one shuffle by word. Transitions are counted anew with the classes
+of all words. Words seen less often, down to never, have one of OPEN classes by their last two bytes: what is seen
+once tells how often new words come. The end of a text has a class of its own, in which every text also begins.
 
   P(w | v) = P(class w | class v) * P(w | class w)
   P(c | d) = (N(d, c) + STRENGTH * (N(c) + 1) / (N + number of classes)) / (N(d) + STRENGTH)
@@ -20,6 +21,8 @@ transitions and scored with them.
 
 Edge cases: a null, empty or wordless text is the end alone. Repeated rows are counted and scored each; rows with null
 doc_id belong to the training part. Without training texts all counts are 0 and all scores come from the smoothing.
+Ties between classes go to the first; a word without a neighbour of a learned class joins the first class. A very long
+text is one row of words and places. Only doc_id and text are read, so further columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,15 +38,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .counts import most_frequent
-from .scratch import bounded_batches, stored
+from .scratch import bounded_batches, give_back, stored
 
 CLUSTERED, CLASSES, OPEN = 2048, 64, 32
 LEARNED = 2  # times that a word is seen, at least, to have a learned class
 FREQUENT = 1 << 15  # words whose counts and classes travel with the tasks
-SWEEPS = 4
+SWEEPS, LEAST_GAIN = 40, 1e-5  # sweeps at most, and the share of the likelihood that one must gain for another to follow
 STRENGTH = 20.0
 RARE = 255  # in a chain, the place of a word whose class isn't known yet
 FLUSH = 400_000  # distinct words or bigrams that a task holds before it passes them on
+NEAR = np.dtype([("c", "u1"), ("n", "<u4")])  # a neighbouring class, and how often
 _LOWER = bytes(range(256)).lower()
 
 
@@ -66,13 +70,13 @@ def open_class(word: bytes) -> int:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash), kind (its open class), n over docs; the end of a text isn't among them."""
+    """word (hash), n over docs; the end of a text isn't among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
 
         def told() -> pa.RecordBatch:
-            return pa.record_batch({"word": pa.array(map(name, seen), pa.int64()), "kind": pa.array(map(open_class, seen), pa.int32()), "n": pa.array(seen.values(), pa.int64())})
+            return pa.record_batch({"word": pa.array(map(name, seen), pa.int64()), "n": pa.array(seen.values(), pa.int64())})
 
         for b in batches:
             for t in b.column("text").to_pylist():
@@ -82,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     seen.clear()
         yield told()
 
-    return docs.select("text").mapInArrow(run, "word long, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _bigrams(docs: DataFrame, ids: dict[int, int]) -> DataFrame:
@@ -155,127 +159,201 @@ class _Slots(dict):
 
 
 class _Local(dict):
-    """Word to a number of its own; names and classes by number, the class being -1 - open class where ids lacks the word."""
+    """Word to a number of its own; names, open classes and learned classes (-1 where ids lacks the word) by number."""
 
     def __init__(self, ids: dict[int, int]) -> None:
         super().__init__()
-        self.ids, self.names, self.classes = ids, [], []
+        self.ids = ids
+        self.clear()
 
     def __missing__(self, word: bytes) -> int:
         h = name(word)
-        c = self.ids.get(h)
         self.names.append(h)
-        self.classes.append(-1 - open_class(word) if c is None else c)
+        self.kinds.append(open_class(word))
+        self.classes.append(self.ids.get(h, -1))
         self[word] = out = len(self.names) - 1
         return out
 
     def clear(self) -> None:
         super().clear()
-        self.names, self.classes = [], []
+        self.names, self.kinds, self.classes = [], [], []
 
 
 def _contexts(docs: DataFrame, ids: dict[int, int]) -> DataFrame:
-    """(word, c, n): how often words not in ids (hash to class) follow class c, or precede class c - number of classes."""
+    """word, kind, n, near of the words not in ids (hash to class): a row for each task and flush.
+
+    near has the classes before (c) and after (CLASSES + 1 + c), the end being class CLASSES; neighbours that aren't
+    in ids either say nothing.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(ids)  # CLUSTERED entries
-    n_all = CLASSES + OPEN + 1
+    side = CLASSES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = _Local(sent.value)
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        times, known = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by local number: how often, and the class
         parts: list[np.ndarray] = []
         pending = 0
 
         def told() -> pa.RecordBatch:
-            return pa.record_batch({"word": pa.array(np.array(local.names, np.int64)[keys // (2 * n_all)]), "c": pa.array((keys % (2 * n_all)).astype(np.int32)), "n": pa.array(n)})
+            own = np.flatnonzero(np.array(local.classes, np.int64) < 0)
+            near = np.empty(len(keys), NEAR)
+            near["c"], near["n"] = keys % (2 * side), n
+            ends = (NEAR.itemsize * np.searchsorted(keys, (own + 1) * 2 * side)).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int32), ends]).tobytes()), pa.py_buffer(near.tobytes())])
+            count = np.zeros(len(local.names), np.int64)
+            count[: len(times)] = times
+            return pa.record_batch({"word": pa.array(np.array(local.names, np.int64)[own]), "kind": pa.array(np.array(local.kinds, np.int32)[own]), "n": pa.array(count[own]), "near": column})
 
         for b in batches:
-            seqs = []
-            for t in b.column("text").to_pylist():
-                seqs.append(np.fromiter(map(local.__getitem__, words_of(t)), np.int64))
+            seqs = [np.fromiter(map(local.__getitem__, words_of(t)), np.int64) for t in b.column("text").to_pylist()]
             seq = np.concatenate([x for s in seqs for x in (s, [-1])]) if seqs else np.zeros(0, np.int64)
-            c = np.array([*local.classes, 0])[seq]
-            other = (c < 0) & (seq >= 0)
-            c = np.where(seq < 0, n_all - 1, np.where(c < 0, CLASSES - 1 - c, c))
-            at = np.flatnonzero(other)
-            parts += [seq[at] * (2 * n_all) + np.where(at > 0, c[at - 1], n_all - 1), seq[at] * (2 * n_all) + n_all + c[np.minimum(at + 1, len(c) - 1)]]
+            known = np.concatenate([known, np.array(local.classes[len(known) :], np.int64)])
+            c = np.where(seq < 0, side - 1, known[seq] if len(known) else -1)
+            at = np.flatnonzero(c < 0)
+            word = seq[at]
+            new = np.bincount(word, minlength=len(local.names))
+            new[: len(times)] += times
+            times = new
+            before, after = c[at - 1], c[np.minimum(at + 1, len(c) - 1)]  # what stands before the first is the last end
+            parts += [(word * (2 * side) + before)[before >= 0], (word * (2 * side) + side + after)[after >= 0]]
             pending += 2 * len(at)
             if pending > 2_000_000 or len(local) > FLUSH:
                 keys, n = _summed(keys, n, parts)
                 pending = 0
                 if len(keys) > 4 * FLUSH or len(local) > FLUSH:
                     yield told()
-                    keys, n = keys[:0], n[:0]
+                    keys, n, times, known = keys[:0], n[:0], times[:0], known[:0]
                     local.clear()
         keys, n = _summed(keys, n, parts)
         yield told()
+        give_back()
 
-    return docs.select("text").mapInArrow(run, "word long, c int, n long").groupBy("word", "c").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word long, kind int, n long, near binary")
 
 
-def best_classes(ends: np.ndarray, c: np.ndarray, n: np.ndarray, trans: np.ndarray, n_classes: int) -> np.ndarray:
-    """For each word the class with which the bigram likelihood gains most, trans being held; no empty one.
+def gains(trans: np.ndarray) -> np.ndarray:
+    """For each neighbour as in _contexts and each learned class: what the neighbour tells for the class.
 
-    Words move at once, so all that suit no class well would meet in an empty class. Word i has the contexts ends[i - 1]
-    to ends[i] (one at least) of c and n; c is as in _contexts.
+    trans: counts of pairs of classes, the last of which is the end. It is the log of how much likelier the neighbour
+    is next to the class than anywhere, smoothed as transitions are.
     """
+    keep = [*range(CLASSES), len(trans) - 1]
+    size = trans.sum(axis=0) + 1
+    prior = size / size.sum()
+    follows = np.log((trans + STRENGTH * prior) / (trans.sum(axis=1, keepdims=True) + STRENGTH) / prior)
+    return np.concatenate([follows[keep][:, :CLASSES], follows[:CLASSES][:, keep].T]).astype(np.float32)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-12))
 
-    starts, n_all = np.concatenate([[0], ends[:-1]]), len(trans)
-    # by context, then class: counts before the class, and after it
-    table = np.concatenate([trans[:, :n_classes], trans[:n_classes].T])
-    gain = np.add.reduceat(f(table[c] + n[:, None]) - f(table)[c], starts, axis=0)
-    for side, total in ((c < n_all, table[:n_all].sum(axis=0)), (c >= n_all, table[n_all:].sum(axis=0))):
-        own = np.add.reduceat(np.where(side, n, 0), starts)
-        gain -= f(total + own[:, None]) - f(total)
-    used = table.any(axis=0)
-    return np.where(used | ~used.any(), gain, -np.inf).argmax(axis=1)
+def _joined(contexts: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, n, class) of all words of contexts: the class that their neighbours tell for, or the open one."""
+    sent = contexts.sparkSession.sparkContext.broadcast(table)  # bounded by the number of classes
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = sent.value
+        held = None  # the last word: its rows may go on in the next batch
 
-def _learned(contexts: DataFrame, trans: np.ndarray) -> DataFrame:
-    """(word, learned): a class for each word of contexts."""
+        def told(word: np.ndarray, kind: np.ndarray, n: np.ndarray, gain: np.ndarray) -> pa.RecordBatch:
+            own = np.where(n >= LEARNED, gain.argmax(axis=1), CLASSES + kind)
+            return pa.record_batch({"word": pa.array(word), "n": pa.array(n), "class": pa.array(own.astype(np.int32))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            near = b.column("near")
-            ends, flat = np.cumsum([len(x) for x in near]), near.flatten()
-            c, n = flat.field("c").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False).astype(np.float64)
-            yield pa.record_batch({"word": b.column("word"), "learned": pa.array(best_classes(ends, c, n, trans, CLASSES).astype(np.int32))})
-
-    # at most twice the number of classes in a list
-    return contexts.groupBy("word").agg(F.collect_list(F.struct("c", "n")).alias("near")).mapInArrow(run, "word long, learned int")
-
-
-def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, trans: np.ndarray, n_classes: int) -> np.ndarray:
-    """One sweep: each word, by place, moves to the class with which the bigram likelihood is largest.
-
-    left[w, c], right[w, c]: how often w follows, precedes class c. trans: counts of class pairs, kept up to date as
-    words move; neighbours count with the classes that they had when the sweep began.
+            word, kind, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("word", "kind", "n"))
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            owner = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]).astype(np.int64)]))
+            word, kind, n = word[first], kind[first], np.add.reduceat(n, first)
+            goes_on = held is not None and held[0][0] == word[0]
+            # words seen too seldom need no class; the first and the last may be seen more often in other batches
+            told_for = n >= LEARNED
+            told_for[[0, -1]] = True
+            raw = b.column("near").to_pylist()
+            some = np.flatnonzero(told_for[owner]).tolist()
+            sizes = np.array([len(raw[i]) // NEAR.itemsize for i in some], np.int64)
+            flat = np.frombuffer(b"".join([raw[i] for i in some]), NEAR)
+            whose = np.repeat(owner[some], sizes)
+            gain = np.zeros((len(word), CLASSES))
+            for lo in range(0, len(flat), 1 << 15):
+                part, who = flat[lo : lo + (1 << 15)], whose[lo : lo + (1 << 15)]
+                at = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                gain[who[at]] += np.add.reduceat(values[part["c"]] * part["n"].astype(np.float32)[:, None], at, axis=0, dtype=np.float64)
+            if goes_on:
+                n[0] += held[2][0]
+                gain[0] += held[3][0]
+            elif held is not None:
+                yield told(*held)
+            yield told(word[:-1], kind[:-1], n[:-1], gain[:-1])
+            held = word[-1:], kind[-1:], n[-1:], gain[-1:]
+        if held is not None:
+            yield told(*held)
+        give_back()
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, n long, class int")
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(trans: np.ndarray) -> float:
+    """The log likelihood of the class bigrams, but for what no exchange changes."""
+    return float(_f(trans).sum() - _f(trans.sum(axis=1)).sum() - _f(trans.sum(axis=0)).sum())
+
+
+def exchange(pairs: np.ndarray, classes: np.ndarray, movable: int, n_classes: int, n_all: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes by place, counts of pairs of classes, and the likelihood at the beginning and after each sweep.
+
+    pairs[v, w]: how often place w follows place v. The first movable places move one at a time, each to the best of
+    the first n_classes classes if that is better than its own; all others keep theirs.
     """
-
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-12))
-
-    classes, trans = classes.copy(), trans.astype(np.float64).copy()
-    for w in range(len(classes)):
-        lw, rw, now = left[w].astype(np.float64), right[w].astype(np.float64), classes[w]
-        total_l, total_r = lw.sum(), rw.sum()
-        if not total_l and not total_r:
-            continue
-        trans[:, now] = np.maximum(trans[:, now] - lw, 0)
-        trans[now, :] = np.maximum(trans[now, :] - rw, 0)
-        part = trans[:, :n_classes]
-        col, row = part.sum(axis=0), trans[:n_classes].sum(axis=1)
-        gain = (f(part + lw[:, None]) - f(part)).sum(axis=0) + (f(trans[:n_classes] + rw[None, :]) - f(trans[:n_classes])).sum(axis=1)
-        gain -= f(col + total_l) - f(col) + f(row + total_r) - f(row)
-        best = int(np.argmax(gain))
-        classes[w] = best if gain[best] > gain[now] + 1e-9 else now
-        trans[:, classes[w]] += lw
-        trans[classes[w], :] += rw
-    return classes
+    classes = classes.copy()
+    member = np.zeros((len(classes), n_all))
+    member[np.arange(len(classes)), classes] = 1
+    left, right = pairs.T @ member, pairs @ member  # how often a class stands before, after a place
+    trans = member.T @ right
+    told = [likelihood(trans)]
+    for _ in range(sweeps):
+        moved = 0
+        for w in range(movable):
+            now, own = classes[w], pairs[w, w]
+            before, after = left[w].copy(), right[w].copy()
+            before[now] -= own
+            after[now] -= own
+            if not own and not before.any() and not after.any():
+                continue
+            trans[:, now] -= before
+            trans[now] -= after
+            trans[now, now] -= own
+            into, out = trans[:, :n_classes], trans[:n_classes]
+            b, a = np.flatnonzero(before), np.flatnonzero(after)
+            gain = (_f(into[b] + before[b, None]) - _f(into[b])).sum(axis=0) + (_f(out[:, a] + after[a]) - _f(out[:, a])).sum(axis=1)
+            # the cell of a class with itself gets both, and the pairs of the word with itself
+            self_now = np.diagonal(trans)[:n_classes]
+            x, y = before[:n_classes], after[:n_classes]
+            gain += _f(self_now + x + y + own) - _f(self_now + x) - _f(self_now + y) + _f(self_now)
+            # totals: what stands after the word counts for its classes wherever the word goes
+            for total, more in ((into.sum(axis=0) + y, before.sum() + own), (out.sum(axis=1) + x, after.sum() + own)):
+                gain -= _f(total + more) - _f(total)
+            best = int(gain.argmax())
+            if gain[best] > gain[now] + 1e-7:
+                moved += 1
+                classes[w] = best
+                left[:, now] -= pairs[w]
+                left[:, best] += pairs[w]
+                right[:, now] -= pairs[:, w]
+                right[:, best] += pairs[:, w]
+                before, after = left[w].copy(), right[w].copy()
+                before[best] -= own
+                after[best] -= own
+            at = classes[w]
+            trans[:, at] += before
+            trans[at] += after
+            trans[at, at] += own
+        told.append(likelihood(trans))
+        if not moved or told[-1] - told[-2] < LEAST_GAIN * abs(told[-1]):
+            break
+    return classes, trans, told
 
 
 @dataclass
@@ -314,24 +392,19 @@ def classed(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     counts = stored(word_counts(learn), "word-counts")
     ends = learn.count()
     ids = {r["word"]: i for i, r in enumerate(most_frequent(counts, "word", CLUSTERED))}
-    size = CLUSTERED + OPEN + 1
-    bigrams = stored(_bigrams(learn, ids), "bigrams")
+    size, n_all = CLUSTERED + OPEN + 1, CLASSES + OPEN + 1
+    found = _bigrams(learn, ids).toArrow()  # the square of CLUSTERED and the open classes at most
+    pairs = np.zeros((size, size))
+    pairs[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
     # words start in classes by frequency; open classes and the end keep theirs
-    n_all = CLASSES + OPEN + 1
     classes = np.concatenate([np.arange(CLUSTERED) % CLASSES, CLASSES + np.arange(OPEN + 1)]).astype(np.int64)
-    for sweep in range(SWEEPS + 1):
-        left, right = _context(bigrams, classes, size, n_all)
-        trans = np.zeros((n_all, n_all))
-        np.add.at(trans, classes, right)
-        if sweep < SWEEPS:
-            classes[: len(ids)] = exchange(left[: len(ids)], right[: len(ids)], classes[: len(ids)], trans, CLASSES)
+    classes, trans, _ = exchange(pairs, classes, len(ids), CLASSES, n_all)
     # all other words join the classes
     first = {w: int(classes[i]) for w, i in ids.items()}
-    begun = F.broadcast(docs.sparkSession.createDataFrame(list(first.items()) or [(None, None)], "word long, begun int"))
-    words = counts.join(begun, "word", "left")
-    moved = _learned(_contexts(learn, first), trans)
-    own = F.when(F.col("begun").isNotNull(), F.col("begun")).when(F.col("n") >= LEARNED, F.col("learned")).otherwise(CLASSES + F.col("kind"))
-    counts = stored(words.join(moved, "word", "left").select("word", "n", own.alias("class")), "word-classes")
+    known = counts.join(F.broadcast(docs.sparkSession.createDataFrame(list(first.items()) or [(None, None)], "word long, class int")), "word")
+    bounded_batches(docs.sparkSession, 20_000)  # rows of words are short
+    counts = stored(_joined(_contexts(learn, first), gains(trans)).unionByName(known), "word-classes")
+    bounded_batches(docs.sparkSession)
     # sizes and kinds of the classes
     size_of, kinds = np.zeros(n_all), np.zeros(n_all)
     for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -365,18 +438,6 @@ def with_transitions(model: ClassModel, chained: DataFrame) -> ClassModel:
     return replace(model, transition=np.log10((trans + STRENGTH * prior) / (trans.sum(axis=1, keepdims=True) + STRENGTH)))
 
 
-def _context(bigrams: DataFrame, classes: np.ndarray, size: int, n_all: int) -> tuple[np.ndarray, np.ndarray]:
-    """left[x, c], right[x, c]: counts of class c before and after x. At most size * n_all rows reach the driver, twice."""
-    kind = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
-    out = []
-    for own, other in (("b", "a"), ("a", "b")):
-        rows = bigrams.groupBy(F.col(own).alias("x"), F.get(kind, F.col(other)).alias("c")).agg(F.sum("n").alias("n")).toArrow()
-        m = np.zeros((size, n_all))
-        m[rows["x"].to_numpy(), rows["c"].to_numpy()] = rows["n"].to_numpy()
-        out.append(m)
-    return out[0], out[1]
-
-
 def emission(model: ClassModel, n: np.ndarray, c: np.ndarray) -> np.ndarray:
     """log10 P(word | class) from the word's count."""
     free = (c >= CLASSES) & (c < CLASSES + OPEN)

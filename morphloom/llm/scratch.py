@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_BYTES = "2m"
-ARROW_ROWS = "500"
+ARROW_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,10 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes, so that a few very long texts can't fill a Python worker."""
-    for key, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Keep Arrow batches small in bytes, so that a few very long texts can't fill a Python worker.
+
+    Spark reads these settings when a plan runs, and what the operators return runs after them: so they stay set.
+    """
+    for key, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", ARROW_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def give_back() -> None:

@@ -210,6 +210,66 @@ def test_words_beyond_the_most_frequent_have_learned_classes(spark, monkeypatch)
         assert r["score"] == pytest.approx(emitted + model.transition[chain[:-1], chain[1:]].sum())
 
 
+def test_exchange_never_loses_likelihood():
+    rng = np.random.default_rng(7)
+    words, n_classes, n_all = 60, 6, 9
+    pairs = rng.poisson(0.4, (words + 3, words + 3)).astype(float) + np.diag(rng.poisson(3, words + 3))
+    pairs[:30, 30:60] += rng.poisson(4, (30, 30))
+    classes = np.concatenate([np.arange(words) % n_classes, n_classes + np.arange(3)])
+
+    def by_hand(c):
+        t = np.zeros((n_all, n_all))
+        np.add.at(t, (c[:, None], c[None, :]), pairs)
+        p = t / np.maximum(t.sum(axis=1, keepdims=True), 1) / np.maximum(t.sum(axis=0), 1)
+        return float((t * np.log(np.where(t > 0, p, 1))).sum())
+
+    told = [by_hand(classes)]
+    now = classes
+    for w in range(words):  # a word at a time: each move is the best of all, by full recounts
+        one = np.concatenate([[w], np.delete(np.arange(words + 3), w)])
+        after, trans, values = L.exchange(pairs[np.ix_(one, one)], now[one], 1, n_classes, n_all, 1)
+        back = now.copy()
+        back[w] = after[0]
+        best = max(by_hand(np.where(np.arange(words + 3) == w, c, now)) for c in range(n_classes))
+        assert by_hand(back) == pytest.approx(best) and values[-1] == pytest.approx(best)
+        now = back
+        told.append(best)
+    assert all(b >= a - 1e-9 for a, b in zip(told, told[1:]))
+    final, trans, values = L.exchange(pairs, classes, words, n_classes, n_all)
+    assert all(b >= a - 1e-9 for a, b in zip(values, values[1:])) and values[-1] > values[0]
+    assert values[-1] == pytest.approx(by_hand(final)) and (final[words:] == classes[words:]).all()
+
+
+def test_rare_words_join_by_all_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(L, "FLUSH", 3)  # words come in many parts
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ids = {L.name(w.encode()): i for i, w in enumerate(["ax", "by", "cz"])}
+    table = np.random.default_rng(3).normal(size=(2 * L.CLASSES + 2, L.CLASSES)).astype(np.float32)
+    got = {r["word"]: (r["n"], r["class"]) for r in L._joined(L._contexts(docs, ids), table).collect()}
+    want, gain = Counter(), {}
+    for _, t in rows:
+        seq = [None, *(L.name(w.encode()) for w in t.split()), None]
+        kind = {L.name(w.encode()): L.CLASSES + L.open_class(w.encode()) for w in t.split()}
+        of = lambda w: L.CLASSES if w is None else ids.get(w)
+        for x, w, y in zip(seq, seq[1:], seq[2:]):
+            if w not in ids:
+                want[w] += 1
+                g = gain.setdefault(w, [np.zeros(L.CLASSES), kind[w]])
+                g[0] += (table[of(x)] if of(x) is not None else 0) + (table[L.CLASSES + 1 + of(y)] if of(y) is not None else 0)
+    assert got == {w: (n, int(gain[w][0].argmax()) if n >= L.LEARNED else gain[w][1]) for w, n in want.items()}
+
+
+def test_class_model_of_very_long_texts_and_other_columns(spark):
+    long = " ".join(f"w{i % 700}" for i in range(200_000))
+    rows = [(1, long, "x"), (2, "w1 w2 w3", None), (2, "w1 w2 w3", None), (4, "w" * 100_000, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = L.score(docs, *L.train(docs))
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got.collect()) == [(1, 200_001), (2, 4), (2, 4), (4, 2)]
+
+
 def test_class_model_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.score(docs, *L.train(docs)).count() == 0
