@@ -42,7 +42,7 @@ from .scratch import bounded_batches, give_back, stored
 
 CLUSTERED, CLASSES, OPEN = 2048, 64, 32
 LEARNED = 2  # times that a word is seen, at least, to have a learned class
-FREQUENT = 1 << 15  # words whose counts and classes travel with the tasks
+FREQUENT = 1 << 17  # words whose counts and classes travel with the tasks
 SWEEPS, LEAST_GAIN = 40, 1e-5  # sweeps at most, and the share of the likelihood that one must gain for another to follow
 STRENGTH = 20.0
 RARE = 255  # in a chain, the place of a word whose class isn't known yet
@@ -199,8 +199,7 @@ def _contexts(docs: DataFrame, ids: dict[int, int]) -> DataFrame:
             own = np.flatnonzero(np.array(local.classes, np.int64) < 0)
             near = np.empty(len(keys), NEAR)
             near["c"], near["n"] = keys % (2 * side), n
-            ends = (NEAR.itemsize * np.searchsorted(keys, (own + 1) * 2 * side)).astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int32), ends]).tobytes()), pa.py_buffer(near.tobytes())])
+            column = _binary(near, np.searchsorted(keys, (own + 1) * 2 * side))
             count = np.zeros(len(local.names), np.int64)
             count[: len(times)] = times
             return pa.record_batch({"word": pa.array(np.array(local.names, np.int64)[own]), "kind": pa.array(np.array(local.kinds, np.int32)[own]), "n": pa.array(count[own]), "near": column})
@@ -391,7 +390,8 @@ def classed(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     learn = docs.where(~held_out(F.col("doc_id"))).select("text")
     counts = stored(word_counts(learn), "word-counts")
     ends = learn.count()
-    ids = {r["word"]: i for i, r in enumerate(most_frequent(counts, "word", CLUSTERED))}
+    begun = most_frequent(counts, "word", CLUSTERED)
+    ids = {r["word"]: i for i, r in enumerate(begun)}
     size, n_all = CLUSTERED + OPEN + 1, CLASSES + OPEN + 1
     found = _bigrams(learn, ids).toArrow()  # the square of CLUSTERED and the open classes at most
     pairs = np.zeros((size, size))
@@ -401,7 +401,7 @@ def classed(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     classes, trans, _ = exchange(pairs, classes, len(ids), CLASSES, n_all)
     # all other words join the classes
     first = {w: int(classes[i]) for w, i in ids.items()}
-    known = counts.join(F.broadcast(docs.sparkSession.createDataFrame(list(first.items()) or [(None, None)], "word long, class int")), "word")
+    known = docs.sparkSession.createDataFrame([(r["word"], r["n"], first[r["word"]]) for r in begun], "word long, n long, class int")
     bounded_batches(docs.sparkSession, 20_000)  # rows of words are short
     counts = stored(_joined(_contexts(learn, first), gains(trans)).unionByName(known), "word-classes")
     bounded_batches(docs.sparkSession)
@@ -457,7 +457,7 @@ def chains(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        floor, end = np.log10(m.base_floor), bytes([CLASSES + OPEN])
+        floor, end = np.log10(m.base_floor), CLASSES + OPEN
         slots = _Slots(m.counts)
         # by slot: frequent words first, then the open classes of all others
         n = np.array([*m.counts.values(), *[0] * OPEN], np.float64)
@@ -465,24 +465,42 @@ def chains(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
         base_of, score_of, byte_of = np.log10(n + 1) - floor, emission(m, n, c), c.astype(np.uint8)
         first_other = len(m.counts)
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("doc_id", "n_tokens", "n_known", "base", "score", "words", "times", "kinds", "chain", "places")}
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = words_of(t)
-                slot = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
-                chain = byte_of[slot]
-                known = slot[slot < first_other]
-                rare = np.flatnonzero(slot >= first_other)
-                chain[rare] = RARE
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in rare.tolist()), np.uint64, len(rare))
-                hashes, at, place, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                base = np.log10(m.ends + 1) - floor + base_of[known].sum()
-                values = (doc_id, len(words) + 1, len(known) + int(m.ends > 0), float(base), float(score_of[known].sum()), hashes.view(np.int64), times, slot[rare[at]] - first_other, end + chain.tobytes() + end, place.astype("<u4").tobytes())
-                for x, v in zip(out.values(), values, strict=True):
-                    x.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
-
-    schema = "doc_id long, n_tokens long, n_known long, base double, score double, words array<bigint>, times array<bigint>, kinds array<bigint>, chain binary, places binary"
+            texts = [words_of(t) for t in b.column("text").to_pylist()]
+            size = np.array([len(x) for x in texts], np.int64)
+            words = [w for x in texts for w in x]
+            texts.clear()
+            slot = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+            text = np.repeat(np.arange(len(size)), size)
+            rare = np.flatnonzero(slot >= first_other)
+            known = np.ones(len(slot), bool)
+            known[rare] = False
+            base, emitted = (np.bincount(text[known], v[slot[known]], len(size)) for v in (base_of, score_of))
+            # chains: an end, the words' classes, an end
+            to = np.cumsum(size + 2)
+            chain = np.full(int(to[-1]) if len(to) else 0, end, np.uint8)
+            place = np.arange(len(slot)) + 2 * text + 1
+            chain[place] = byte_of[slot]
+            chain[place[rare]] = RARE
+            # the rare words of each text, each once, and which of them stands at each RARE
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in rare.tolist()), np.uint64, len(rare)).view(np.int64)
+            order = np.lexsort((hashes, text[rare]))
+            own, whose = hashes[order], text[rare][order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (whose[1:] != whose[:-1])
+            first = np.flatnonzero(new)
+            ends = np.searchsorted(whose[first], np.arange(len(size) + 1)).astype(np.int32)
+            nth = np.empty(len(own), "<u4")
+            nth[order] = np.cumsum(new) - 1 - ends[whose]
+            times = np.diff([*first, len(own)])
+            lists = {"words": own[first], "times": times.astype(np.int32), "kinds": (slot[rare][order][first] - first_other).astype(np.int8)}
+            yield pa.record_batch(
+                {"doc_id": b.column("doc_id"), "n_tokens": pa.array(size + 1), "n_known": pa.array(np.bincount(text[known], minlength=len(size)) + int(m.ends > 0)), "base": pa.array(base + np.log10(m.ends + 1) - floor), "score": pa.array(emitted)}
+                | {c: pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for c, v in lists.items()}
+                | {"chain": _binary(chain, to), "places": _binary(nth, np.cumsum(np.bincount(text[rare], minlength=len(size))))}
+            )
+        give_back()
+
+    schema = "doc_id long, n_tokens long, n_known long, base double, score double, words array<bigint>, times array<int>, kinds array<tinyint>, chain binary, places binary"
     told = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
     told = stored(told, "scored")
     # the rare words of each text meet the counts; an unseen word has none and its open class
@@ -504,6 +522,12 @@ def chains(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
     return stored(whole.select("doc_id", "n_tokens", plus("n_known", "more_known"), plus("base", "more_base"), plus("score", "more_score"), chain), "chains")
 
 
+def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The parts of flat that end at ends, as binary values."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * np.int32(flat.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
 def _filled(chains: pa.Array, places: pa.Array, classes: pa.Array) -> pa.Array:
     """Chains with the classes of their rare words, which places tells by order."""
     out = []
