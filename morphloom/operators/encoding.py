@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import MARK, text_words
+from ..functions.measures import MARK
 
 UNKNOWN = MARK + "<unk>"
 
@@ -65,14 +65,49 @@ def token_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     return whole.unionByName(chars).select("word", pos.cast("long").alias("pos"), "id")
 
 
+MEMO = 200_000  # words that a worker remembers
+
+
+class TextEncoder:
+    """ids of texts, as token_ids has them; merges and vocabulary are bounded by the vocabulary's size."""
+
+    def __init__(self, merges: Sequence[tuple[str, str]], vocab: dict[str, int]) -> None:
+        self.ranks, self.vocab, self.memo = ranks_of(merges), vocab, {}
+
+    def of_word(self, word: str) -> list[int]:
+        """Of a word without its mark."""
+        known, out = self.vocab, []
+        for token in encode_word(MARK + word, self.ranks):
+            i = known.get(token, known.get(UNKNOWN))
+            out += [i] if i is not None else [known[c] for c in token if c in known]
+        return out
+
+    def of_text(self, text: str) -> list[int]:
+        out: list[int] = []
+        for word in text.split():
+            ids = self.memo.get(word)
+            if ids is None:
+                ids = self.of_word(word)
+                if len(self.memo) < MEMO and len(word) < 64:
+                    self.memo[word] = ids
+            out += ids
+        return out
+
+
 def encode_documents(docs: DataFrame, merges: Sequence[tuple[str, str]], vocab: DataFrame, lower: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (in order) of every text.
+    """doc_id, n_tokens, ids (in order) of every text. vocab: token, id; it is collected, as its size is bounded.
 
-    Distinct words are encoded once and met again by a join, so a frequent word costs one encoding.
+    Texts are encoded where they lie, in Arrow batches: nothing is shuffled, and a worker encodes a frequent word once.
     """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((list(merges), {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}))
+    made: list[TextEncoder] = []
+
+    def run(column: pa.Array) -> pa.Array:
+        if not made:  # one for each worker
+            made.append(TextEncoder(*sent.value))
+        return pa.array([made[0].of_text(t or "") for t in column.to_pylist()], pa.list_(pa.int32()))
+
     text = F.lower("text") if lower else F.col("text")
-    words = docs.select("doc_id", F.posexplode(text_words(text)).alias("pos", "w")).select("doc_id", "pos", F.concat(F.lit(MARK), "w").alias("word"))
-    ids = token_ids(encode_words(words.select("word").distinct(), merges), vocab)
-    coded = ids.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    found = words.join(coded, "word", "left").groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = docs.select("doc_id", F.arrow_udf(run, "array<int>")(text).alias("ids"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

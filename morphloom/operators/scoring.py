@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bigrams import edge_weights, ppmi
+from .bigrams import ppmi
 from .spectral import z_gap
 
 METHODS = ("freq", "pmi_only", "ppmi_discounted", "spectral", "spectral_shuffled")
@@ -45,15 +45,11 @@ def score(pairs: DataFrame, method: str, tau: int = 2, alpha: float = 0.0, z: Da
     return out.select("a", "b", "score", "first_seen").where("score > 0")
 
 
-def spectral_edges(associated: DataFrame, alpha: float) -> DataFrame:
-    return edge_weights(associated, alpha)
-
-
 def conflict_free(scored: DataFrame, k: int) -> list[Pick]:
     """The first k pairs by falling score (ties: first seen first) of which no two share a symbol.
 
     A greedy choice depends on what comes before only, so it reads growing heads of the order: a distributed top-n,
-    not the whole table. In the usual case the first head suffices.
+    not the whole table. In the usual case the first head suffices. Give it a stored table: each head reads it anew.
     """
     size = max(1024, 16 * k)
     while True:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import MARK, text_words
+from ..functions.measures import MARK, SPACE, text_words
 
 
 def word_counts(docs: DataFrame, lower: bool = False) -> DataFrame:
@@ -34,6 +34,12 @@ def vocabulary(words: DataFrame) -> DataFrame:
     return words.select(F.explode("toks").alias("token")).distinct()
 
 
+def text_symbols(docs: DataFrame) -> DataFrame:
+    """token: the distinct symbols of all words and their mark. Each text gives its own once; no word is shuffled."""
+    found = docs.select(F.explode(F.array_distinct(F.split("text", ""))).alias("token")).distinct().where((F.col("token") != "") & ~F.col("token").rlike(SPACE))
+    return found.select(F.explode(F.array("token", F.lit(MARK))).alias("token")).distinct()
+
+
 def with_ids(vocab: DataFrame) -> DataFrame:
     """token, id: the rank of a token in code-point order. A vocabulary is bounded by its target size."""
     from pyspark.sql import Window as W

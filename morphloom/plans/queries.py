@@ -18,6 +18,7 @@ from ..operators import spectral as Z
 from ..operators import words as Wd
 from ..sources import corpus as C
 from ..sources.sinks import to_sorted_json
+from .lineage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +89,12 @@ def corpus_split(spark, d):
     return C.split_documents(C.read_documents(spark, d)).select("doc_id", "part")
 
 
+@query("line_split", "with l as (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) pos from documents), n as (select doc_id, line, pos, row_number() over (order by doc_id, pos) r, count(*) over () k from l) select doc_id, pos, line, case when r <= floor(k * 0.9) then 'train' else 'val' end as part from n")
+def line_split(spark, d):
+    """The documents as one text, cut into 90 % of its lines and the rest."""
+    return C.split_lines(C.text_lines(C.read_documents(spark, d), "\n")).select("doc_id", F.col("pos").cast("long").alias("pos"), "line", "part")
+
+
 @query("word_symbols", f"with {P_SQL} select word, array_to_string(t, ' ') symbols, len(t) n_symbols from seg")
 def word_symbols(spark, d):
     return Wd.segment(_words(spark, d)).select("word", F.array_join("toks", " ").alias("symbols"), F.size("toks").cast("long").alias("n_symbols"))
@@ -216,11 +223,13 @@ def _apply(name: str, source: str, picks: str) -> str:
 G0_SQL = P_SQL + "," + _greedy("p0", "pairs")
 G1_SQL = G0_SQL + ",\ns0 as materialized (select word, chr(1) || array_to_string(t, chr(2) || chr(1)) || chr(2) s from seg)," + _apply("s1", "s0", "p0")
 _TOKS = "string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1))"
-G2_SQL = (
-    G1_SQL
-    + f""",
+_SECOND_SQL = f"""
 seg1 as (select word, cnt, f, {_TOKS} t from s1 join words using (word)),
 pairs1 as materialized (select t[i] a, t[i + 1] b, sum(cnt)::bigint n, min({{d: f.d, p: f.p, i: i - 1}}) fs from (select *, unnest(range(1, len(t))) i from seg1 where cnt > 0 and len(t) >= 2) group by 1, 2),"""
+G2_SQL = (
+    G1_SQL
+    + ","
+    + _SECOND_SQL
     + _greedy("p1", "pairs1")
     + f""",
 log as (select step, a, b, new_token, score, 0::bigint batch_id from p0 union all select step + (select count(*) from p0), a, b, new_token, score, 1 from p1)"""
@@ -228,7 +237,7 @@ log as (select step, a, b, new_token, score, 0::bigint batch_id from p0 union al
 
 
 def _batch0(spark: SparkSession, d: str) -> list[S.Pick]:
-    return S.conflict_free(S.score(_pairs(spark, d), "freq"), BATCH)
+    return S.conflict_free(stored(S.score(_pairs(spark, d), "freq"), "scored"), BATCH)
 
 
 def _pick_table(spark: SparkSession, picks: list[S.Pick]) -> DataFrame:
@@ -243,7 +252,7 @@ def select_batch0_freq(spark, d):
 @query("apply_batch0", f"with recursive {G1_SQL} select word, array_to_string({_TOKS}, ' ') tokens, len({_TOKS}) n_tokens from s1")
 def apply_batch0(spark, d):
     words = Wd.segment(_words(spark, d))
-    out = T.apply_batch(words, S.conflict_free(S.score(B.bigram_counts(words), "freq"), BATCH))
+    out = T.apply_batch(words, S.conflict_free(stored(S.score(B.bigram_counts(words), "freq"), "scored"), BATCH))
     return out.select("word", F.array_join("toks", " ").alias("tokens"), F.size("toks").cast("long").alias("n_tokens"))
 
 
@@ -270,19 +279,40 @@ def vocab_after_2batches(spark, d):
     return _train(spark, d, max_batches=2).vocab_table().withColumn("id", F.col("id").cast("long"))
 
 
-@query("vocab_trained")
-def vocab_trained(spark, d):
-    return _train(spark, d).vocab_table().withColumn("id", F.col("id").cast("long"))
-
-
 for _method in S.METHODS[1:]:
 
     @query(f"train_{_method}")
     def train_method(spark, d, method=_method):
-        log = _train(spark, d, method, log_z=True, stem_chars=STEM, suffix_chars=SUFFIX).log
+        """Up to the default vocabulary; coordinates only where the method needs them."""
+        log = _train(spark, d, method, log_z=method.startswith("spectral"), stem_chars=STEM, suffix_chars=SUFFIX).log
         return log.withColumns({"score": F.round("score", 3), "z_dist": F.round("z_dist", 3)})
 
 
+def _associated_sql(name: str, pairs: str, score: str) -> str:
+    """Pairs with a score of their association in place of n, as _greedy orders them."""
+    return f"""
+{name} as materialized (select a, b, {score} n, fs from (select a, b, n::double n, fs, ln((n * (1 / z) + 1e-12) / (x * (1 / z) * (y * (1 / z)) + 1e-12)) pp
+  from {pairs} join (select a, sum(n)::double x from {pairs} group by a) using (a) join (select b, sum(n)::double y from {pairs} group by b) using (b), (select sum(n)::double z from {pairs}) where n >= 2) where pp > 0)"""
+
+
+def _two_batches_sql(score: str) -> str:
+    first, second = (_associated_sql(f"scored{i}", p, score) + "," + _greedy(f"p{i}", f"scored{i}") for i, p in enumerate(("pairs", "pairs1")))
+    return (
+        P_SQL + "," + first + ",\ns0 as materialized (select word, chr(1) || array_to_string(t, chr(2) || chr(1)) || chr(2) s from seg)," + _apply("s1", "s0", "p0") + "," + _SECOND_SQL + second
+        + """,
+log as (select step, a, b, new_token, score, 0::bigint batch_id from p0 union all select step + (select count(*) from p0), a, b, new_token, score, 1 from p1)"""
+    )
+
+
+for _method, _score in (("pmi_only", "pp"), ("ppmi_discounted", "pp * n * pow(n, 0.0)")):
+
+    @query(f"train_{_method}_2batches", f"with recursive {_two_batches_sql(_score)} select step, a, b, new_token, round(score, 6) score, batch_id from log")
+    def train_method_2batches(spark, d, method=_method):
+        """The first two batches of train_*, as far as SQL follows."""
+        log = _train(spark, d, method, max_batches=2).log
+        return log.select(F.col("step").cast("long").alias("step"), "a", "b", "new_token", *_r("score"), F.col("batch_id").cast("long").alias("batch_id"))
+
+
 @query("first_snapshot")
 def first_snapshot(spark, d):
     return _train(spark, d, "spectral", max_batches=1).z_snapshot.select("token", "id", F.round(F.abs("z").cast("double"), 4).alias("abs_z"))
@@ -379,20 +409,13 @@ def token_ids(spark, d):
 @query("document_token_counts", f"with {ENC_SQL} select doc_id, coalesce(sum(len(t)), 0)::bigint n_tokens from documents left join (select doc_id, '▁' || w word from occ) using (doc_id) left join enc using (word) group by doc_id")
 def document_token_counts(spark, d):
     docs = C.read_documents(spark, d)
-    vocab = Wd.with_ids(Wd.vocabulary(Wd.segment(_words(spark, d))).unionByName(spark.createDataFrame([(a + b,) for a, b in MERGES], "token string")).distinct())
+    vocab = Wd.with_ids(Wd.text_symbols(docs).unionByName(spark.createDataFrame([(a + b,) for a, b in MERGES], "token string")).distinct())
     return E.encode_documents(docs, MERGES, vocab).select("doc_id", "n_tokens")
 
 
-@query("encode_words_trained")
-def encode_words_trained(spark, d):
-    """encode_words with the merges that train_freq learns."""
-    words = _words(spark, d)
-    out = E.encode_words(words.select("word", "cnt"), T.train(words, T.TrainConfig(batch_size=BATCH)).merges)
-    return out.select("word", F.array_join("toks", " ").alias("tokens"), F.size("toks").cast("long").alias("n_tokens"))
-
-
 @query("document_token_counts_trained")
 def document_token_counts_trained(spark, d):
+    """document_token_counts with the merges and the vocabulary that train_freq learns."""
     model = _train(spark, d)
     return E.encode_documents(C.read_documents(spark, d), model.merges, model.vocab_table()).select("doc_id", "n_tokens")
 
@@ -554,6 +577,9 @@ def text_eval(spark, d):
     return text_stage(C.read_documents(spark, d)).summary
 
 
-@query("json_report")
+_JSON = "'{\"avg_tokens_per_word\":' || round(tpw, 6) || ',\"boundary_acc\":' || round(rec, 6) || ',\"f1\":' || round(f1, 6) || ',\"precision\":' || round(prec, 6) || ',\"recall\":' || round(rec, 6) || '}'"
+
+
+@query("json_report", f"with {_curve_sql([len(MERGES)])} select {_JSON} as json from curve")
 def json_report(spark, d):
     return to_sorted_json(boundary_eval(spark, d))

@@ -7,6 +7,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,42 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, path: str, max_chars: int = 0) -> DataFrame:
-    """One document a file, cut to max_chars code points if positive; doc_id counts files by path."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """doc_id (a hash of the path), path and text of each file; bytes that aren't UTF-8 are left out, and texts are cut to
+    max_chars code points if that is positive. A file is one row, so it must fit in a task."""
+
+    def decoded(contents: pa.Array) -> pa.Array:
+        return pa.array([x.decode("utf-8", errors="ignore") for x in contents.to_pylist()], pa.string())
+
+    files = spark.read.format("binaryFile").load(path).select("path", F.arrow_udf(decoded, "string")("content").alias("text"))
     text = F.substring("text", 1, max_chars) if max_chars > 0 else F.col("text")
     return files.select(F.xxhash64("path").alias("doc_id"), "path", text.alias("text"))
 
 
+#: Line ends as Python's str.splitlines has them.
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+
+
+def text_lines(docs: DataFrame, end: str = LINE_END) -> DataFrame:
+    """doc_id, pos, line of all texts; null texts have none."""
+    return docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", end)).alias("pos", "line"))
+
+
+def split_lines(lines: DataFrame) -> DataFrame:
+    """lines (doc_id, pos, line) with part: train for the first floor(0.9 n) by doc_id and pos, else val.
+
+    Counts by document and one boundary document reach the driver: lines are counted where they lie, the document in
+    which the split falls is found by halving, and only its own lines are counted anew.
+    """
+    sizes = lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+    at = lines.count() * 9 // 10
+    if not at:
+        return lines.withColumn("part", F.lit("val"))
+    doc = nth_smallest(sizes, "doc_id", at, "n")
+    rest = at - (sizes.where(F.col("doc_id") < doc).agg(F.sum("n")).first()[0] or 0)
+    inside = (F.col("doc_id") < doc) | ((F.col("doc_id") == doc) & (F.col("pos") < rest))
+    return lines.withColumn("part", F.when(inside, "train").otherwise("val"))
+
+
 def split_documents(docs: DataFrame) -> DataFrame:
     """docs with part: train for the first floor(0.9 n) by doc_id, else val. Positional, never random.
 
@@ -36,28 +67,22 @@ def split_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("part", F.when(is_train, "train").otherwise("val"))
 
 
-def nth_smallest(df: DataFrame, column: str, n: int) -> int:
-    """The n-th smallest (from 1) value of a long column, by halving its range; each step is one aggregation."""
+def nth_smallest(df: DataFrame, column: str, n: int, weight: str | None = None) -> int:
+    """The n-th smallest (from 1) value of a long column, by cutting its range; each step is one aggregation.
+
+    With weight, a column, a row stands for so many.
+    """
     lo, hi = df.agg(F.min(column), F.max(column)).first()
     while lo < hi:
         points = sorted({lo + (hi - lo) * i // 64 for i in range(64)})
-        row = df.agg(*(F.count_if(F.col(column) <= p).alias(f"c{i}") for i, p in enumerate(points))).first()
+        times = F.lit(1) if weight is None else F.col(weight)
+        row = df.agg(*(F.sum(F.when(F.col(column) <= p, times).otherwise(0)).alias(f"c{i}") for i, p in enumerate(points))).first()
         fine = [p for i, p in enumerate(points) if row[i] >= n]
         low = [p for i, p in enumerate(points) if row[i] < n]
         lo, hi = (low[-1] + 1 if low else lo), (fine[0] if fine else hi)
     return lo
 
 
-def split_text(text: str) -> tuple[str, str]:
-    """One text into 90 % and the rest: by lines, or by characters if it has fewer than ten lines."""
-    lines = text.splitlines()
-    if len(lines) < 10:
-        at = int(len(text) * TRAIN_FRACTION)
-        return text[:at], text[at:]
-    at = int(len(lines) * TRAIN_FRACTION)
-    return "\n".join(lines[:at]), "\n".join(lines[at:])
-
-
 @dataclass(frozen=True)
 class SyntheticConfig:
     """Words of a stem and a suffix over disjoint alphabets; the stem's end decides the suffix's start."""
@@ -78,7 +103,8 @@ class SyntheticConfig:
 def synthetic_words(spark: SparkSession, config: SyntheticConfig = SyntheticConfig()) -> tuple[DataFrame, DataFrame]:
     """Training counts (word, cnt, first_doc, first_pos) and validation samples (word, boundary, cnt).
 
-    Drawn on the driver from seeded generators: the number of word types is the bound.
+    Drawn on the driver from seeded generators: the number of word types is the bound. The order of the draws is given,
+    as equal seeds must give equal words.
     """
     c = config
     if len(c.end_chars) != len(c.start_chars):

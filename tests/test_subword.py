@@ -250,8 +250,6 @@ def test_split_is_positional(spark):
     got = C.split_documents(docs(spark, [str(i) for i in range(25)])).collect()
     assert {r["doc_id"] for r in got if r["part"] == "train"} == set(range(22))
     assert {r["part"] for r in C.split_documents(docs(spark, ["x"])).collect()} == {"val"}
-    assert C.split_text("abcdefghij") == ("abcdefghi", "j")
-    assert C.split_text("\n".join("abcdefghijk")) == ("\n".join("abcdefghi"), "j\nk")
 
 
 def test_synthetic_words(spark):
