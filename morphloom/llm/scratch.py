@@ -3,44 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-ARROW_BYTES = "2m"
-ARROW_ROWS = 500
+from ..plans.lineage import new_path, stored
 
+__all__ = ["bounded_batches", "give_back", "new_path", "stored"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset (tests, local mode)."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or None
-    if at is None:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        at = tempfile.mkdtemp(prefix="morphloom-")
-        sc.setCheckpointDir(at)
-    return at
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/morphloom-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a table and read again: later stages neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ARROW_BYTES = "2m"
+ARROW_ROWS = 500
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
