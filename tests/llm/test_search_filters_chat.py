@@ -25,8 +25,9 @@ def test_top_k_is_exact(spark, kind, monkeypatch):
         rows = [(i, pool[0] if i % 3 else rng.choice(pool) ^ (1 << rng.randrange(60))) for i in range(400)]
     else:
         rows = [(i, rng.choice(pool) ^ rng.getrandbits(12)) for i in range(300)]
-    monkeypatch.setattr(hamming, "INDEX_BLOCK", 100)
-    monkeypatch.setattr(hamming, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(hamming, "GROUP", 40)
+    monkeypatch.setattr(hamming, "BLOCK", 30)
+    monkeypatch.setattr(hamming, "CELLS", 50)
     df = spark.createDataFrame(rows, "id long, code long")
     got = {}
     for r in hamming.top_k(df, df.where("id % 20 = 0"), 5).collect():
@@ -123,3 +124,20 @@ def test_longer_vectors_are_refused(spark):
     assert whole.first()[0] == -1
     with pytest.raises(Exception, match="more than 64 components"):
         longer.collect()
+
+
+def test_ids_with_several_codes(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "GROUP", 8)
+    rows = [(0, c) for c in (0, 1, 2, 4)] + [(i, 1 << (i + 8)) for i in range(1, 8)] + [(20, 3), (20, -1), (3, 0), (3, 0), (9, None), (None, 5)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = [tuple(r) for r in hamming.top_k(df, df.where("id % 20 = 0"), 3).collect()]
+    whole = [(i, c % (1 << 64)) for i, c in rows if i is not None and c is not None]
+    want = []
+    for q in (0, 20):
+        near: dict = {}
+        for a in (c for i, c in whole if i == q):
+            for i, c in whole:
+                if i != q:
+                    near[i] = min(near.get(i, 64), (a ^ c).bit_count())
+        want += [(q, r + 1, i, d) for r, (d, i) in enumerate(sorted((d, i) for i, d in near.items())[:3])]
+    assert sorted(got) == want
