@@ -1,12 +1,13 @@
 """URL verdicts: longest host/path rule first, else a Bloom filter cascade over the corpus's own keys.
 
 Everything on the main path is a DataFrame expression. The cascade is built from the complete key universe
-(all host suffixes that occur), so that membership is exact for every key of the corpus although only hashed
+(all host suffixes that occur and are no longer than the list's keys), so that membership is exact for every key of the corpus although only hashed
 bits are kept. The filters travel as constants inside the plan while they stay under ``MAX_LITERAL_BITS``;
 beyond that they stay a table of shards that is looked up by an equi-join on the shard number.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and no listed key, and so
-is allowed. Repeated urls are judged row by row. An empty table gives an empty result; an empty list lists nothing.
+is allowed. Repeated urls are judged row by row. Of a very long host only as much is cut up as the longest key takes.
+Other columns are kept, but for host, path, rule and verdict, which are replaced; _judged_host and _judged_bad are taken. An empty table gives an empty result; an empty list, null and empty keys list nothing.
 """
 
 from __future__ import annotations
@@ -39,11 +40,23 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and all its parent domains, as an array; empty for an empty host."""
-    parts = F.split(host, r"\.")
-    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(every)
+def host_suffixes(host: Column, labels: int, length: int) -> Column:
+    """The host and its parent domains that have at most so many labels and characters, as an array; empty for an empty host.
+
+    No key of a list with these bounds is missed, and only the end of a very long host is looked at.
+    """
+    end = F.substring(host, -(length + 1), length + 1)
+    parts = F.split(end, r"\.")
+    whole = F.size(parts) - F.when(F.length(host) > length, 1).otherwise(0)  # the first part of a cut end isn't a whole label
+    n = F.least(F.lit(labels), whole)
+    every = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, -i, i), "."))
+    return F.when((host == "") | (n < 1), F.array().cast("array<string>")).otherwise(every)
+
+
+def key_bounds(listed: DataFrame) -> tuple[int, int]:
+    """The most labels and characters that a listed key has."""
+    r = listed.agg(F.max(F.size(F.split("key", r"\."))).alias("labels"), F.max(F.length("key")).alias("length")).first()
+    return r["labels"] or 0, r["length"] or 0
 
 
 @dataclass(frozen=True)
@@ -161,13 +174,13 @@ def expected_bits(universe: DataFrame) -> int:
     return int(r["r"] * (1.5 * math.log2(ratio) + 5))
 
 
-def key_universe(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """All host suffixes of ``urls.host`` with ``listed`` true where ``listed.key`` holds them; no join.
+def key_universe(urls: DataFrame, listed: DataFrame, bounds: tuple[int, int]) -> DataFrame:
+    """All host suffixes of ``urls.host`` within bounds, with ``listed`` true where ``listed.key`` holds them; no join.
 
     Hosts are made distinct before their suffixes, so that a hot host is one row for each task.
     """
-    keys = urls.select("host").distinct().select(F.explode(host_suffixes(F.col("host"))).alias("key"), F.lit(True).alias("seen"), F.lit(False).alias("is"))
-    named = listed.where("key is not null").select("key", F.lit(False).alias("seen"), F.lit(True).alias("is"))
+    keys = urls.select("host").distinct().select(F.explode(host_suffixes(F.col("host"), *bounds)).alias("key"), F.lit(True).alias("seen"), F.lit(False).alias("is"))
+    named = listed.where("key != ''").select("key", F.lit(False).alias("seen"), F.lit(True).alias("is"))
     return keys.unionByName(named).groupBy("key").agg(F.max("seen").alias("seen"), F.max("is").alias("listed")).where("seen").select("key", "listed")
 
 
@@ -178,17 +191,18 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, url:
     """
     host, path = url_host(F.col(f"`{url}`")), url_path(F.col(f"`{url}`"))
     told = pages.withColumns({"host": host, "path": path})
-    universe = stored(key_universe(told, listed), "url-keys")
+    bounds = key_bounds(listed)
+    universe = stored(key_universe(told, listed, bounds), "url-keys")
     name, action = rule_columns(rules, F.col("host"), F.col("path"))
     out = told.withColumns({"rule": name, "verdict": action})
     if expected_bits(universe) <= MAX_LITERAL_BITS:
         levels = build_cascade(universe)
-        bad = F.exists(host_suffixes(F.col("host")), lambda k: in_cascade(levels, k))
+        bad = F.exists(host_suffixes(F.col("host"), *bounds), lambda k: in_cascade(levels, k))
         return out.withColumn("verdict", F.coalesce("verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))))
-    return _judge_sharded(out, universe)
+    return _judge_sharded(out, universe, bounds)
 
 
-def _judge_sharded(out: DataFrame, universe: DataFrame) -> DataFrame:
+def _judge_sharded(out: DataFrame, universe: DataFrame, bounds: tuple[int, int]) -> DataFrame:
     """The same verdicts with a cascade for each shard of the keys, kept as a table.
 
     Hosts are looked up once each: distinct hosts meet the shards in a hash join, and verdicts come back by host.
@@ -211,15 +225,15 @@ def _judge_sharded(out: DataFrame, universe: DataFrame) -> DataFrame:
         if not n:
             break
         size = max(1, -(-n // shards))
-    hosts = out.select("host").distinct().select("host", F.explode(host_suffixes(F.col("host"))).alias("key")).withColumn("shard", shard)
+    hosts = out.select("host").distinct().select("host", F.explode(host_suffixes(F.col("host"), *bounds)).alias("key")).withColumn("shard", shard)
     hosts = hosts.withColumns({"miss": F.lit(-1)})
     for i, (level, words, hashes, seed) in enumerate(levels):
         hosts = _shard_hit(hosts, level, words, hashes, seed).withColumn("miss", F.when((F.col("miss") < 0) & ~F.col("hit"), i).otherwise(F.col("miss"))).drop("hit")
     listed = F.when(F.col("miss") < 0, len(levels) % 2 == 1).otherwise(F.col("miss") % 2 == 1)
-    bad = hosts.groupBy("host").agg(F.max(listed).alias("bad"))
+    bad = hosts.groupBy(F.col("host").alias("_judged_host")).agg(F.max(listed).alias("_judged_bad"))
     return (
-        out.join(bad, "host", "left")
-        .withColumn("verdict", F.coalesce("verdict", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))))
+        out.join(bad, F.col("host") == F.col("_judged_host"), "left")
+        .withColumn("verdict", F.coalesce("verdict", F.when(F.col("_judged_bad"), F.lit("block")).otherwise(F.lit("allow"))))
         .select(*out.columns)
     )
 
@@ -241,9 +255,10 @@ def listed_domains(spark: SparkSession) -> DataFrame:
     return names.select(F.explode(F.transform(F.split(F.lit(",".join(LISTED_ZONES)), ","), lambda z: F.concat_ws(".", "name", z))).alias("key"))
 
 
-def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_url_filters(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
+    """listed: a table of blocked domains (key); the default is an example."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge_urls(pages, RULES, listed_domains(spark)).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(pages, RULES, listed_domains(spark) if listed is None else listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _sql() -> str:

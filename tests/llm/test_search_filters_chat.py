@@ -141,3 +141,18 @@ def test_ids_with_several_codes(spark, monkeypatch):
                     near[i] = min(near.get(i, 64), (a ^ c).bit_count())
         want += [(q, r + 1, i, d) for r, (d, i) in enumerate(sorted((d, i) for i, d in near.items())[:3])]
     assert sorted(got) == want
+
+
+@pytest.mark.parametrize("sharded", [False, True])
+def test_very_long_hosts_and_clashing_columns(spark, monkeypatch, sharded):
+    if sharded:
+        monkeypatch.setattr(U, "MAX_LITERAL_BITS", 0)
+        monkeypatch.setattr(U, "SHARD_KEYS", 3)
+    hosts = ["a." * 500_000 + "bad.org", "x" * 1_000_000, "b.bad.org", "xbad.org", "bad.org", "org", "." * 1000, "deep.er.bad.net", "er.bad.net", "bad.net", "", "b.bad.org"]
+    rows = [(i, f"http://{h}/p", True, "k", 1, 2, 3) for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean, key string, word int, shard int, miss int")
+    listed = spark.createDataFrame([("bad.org",), ("er.bad.net",), (None,), ("",)], "key string")
+    got = U.judge_urls(pages, (), listed)
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    want = {i: "block" if any(h == k or h.endswith("." + k) for k in ("bad.org", "er.bad.net")) else "allow" for i, h in enumerate(hosts)}
+    assert {r["page_id"]: r["verdict"] for r in got.select("page_id", "verdict").collect()} == want
