@@ -7,10 +7,11 @@ far and a uniform prior, is below MISS. What survives is confirmed on the full w
 
 Only classes are asked for, so no group ever yields all its pairs. First each node meets the smallest node of its
 bands (linear), and the best such pair of a node is confirmed. Buckets that then still hold several components are
-compared in blocks of bounded size, across components only: what survives the comparison of signatures is confirmed
-there and then on the full sets (of 64-bit shingle hashes), and only links that join two components are given out.
-Buckets with the same nodes are compared once. Hence no link between candidates is lost, and no pair that is refuted
-leaves its block. The bands miss a pair of similarity 0.8 with probability (1 - 0.8**ROWS)**BANDS = 3e-6.
+compared in blocks of bounded size, across components only: first by signatures, which tell the nodes that have a
+surviving pair in a block, then by the full sets (of 64-bit shingle hashes) of these nodes alone; only links that join
+two components are given out. Buckets with the same nodes are compared once. Hence no link between candidates is lost,
+and no pair leaves its block before it is confirmed. A pair of similarity 0.8 is missed with probability 4.8e-6: 3e-6
+by the bands, (1 - 0.8**ROWS)**BANDS, the rest by the pruning.
 
 Components are found by large-star and small-star rounds over tables. Node ids are 64-bit digests of sets: two
 different sets among n get the same with probability n * n / 2**65.
@@ -18,7 +19,9 @@ different sets among n get the same with probability n * n / 2**65.
 Edge cases: null, empty and wordless texts have the empty set, are linked with nothing and are kept. A one-word text
 has that word as its only shingle. Repeated rows are linked through their equal sets. Rows of one doc_id with
 different texts are told apart by their text. Rows with null doc_id belong to classes but do not name them; a class
-of such rows alone has component_id null and is kept. An empty table gives an empty result.
+of such rows alone has component_id null and is kept. Ties between candidates go to the larger node. A very long text
+is one set of shingles, whose signature is worked out in slices. Other columns, of whatever name, are left alone. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ HASHES = BANDS * ROWS
 BATCH = 32  # signature values compared at a time
 MISS = 1e-6
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # nodes and shingles in a block of a large bucket, on average at most
+HOT = 1000  # nodes of a component whose representative is told by broadcast
 BROADCAST_ROWS = 1_000_000  # ids that may be broadcast; beyond, joins shuffle
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -247,6 +251,40 @@ def links_across(node: np.ndarray, root: np.ndarray, block: np.ndarray, sig: np.
     return found
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted blocks (key, lo, hi; block, node, root, n, sig) the nodes with a pair across components that isn't pruned."""
+    held: list[dict] = []
+
+    def told() -> pa.RecordBatch:
+        root, block, n = (np.array([r[c] for r in held]) for c in ("root", "block", "n"))
+        sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint8).reshape(-1, HASHES)
+        one_block, hit = held[0]["lo"] == held[0]["hi"], np.zeros(len(held), bool)
+        for i in range(len(held) - 1):
+            fits = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))
+            if not one_block:
+                fits &= block[i + 1 :] != block[i]
+            if hit[i]:  # only others still matter
+                fits &= ~hit[i + 1 :]
+            rest = np.flatnonzero(fits) + i + 1
+            if len(rest):
+                rest = rest[survivors(np.broadcast_to(sig[i], (len(rest), HASHES)), sig[rest]) >= 0]
+                hit[rest] = True
+                hit[i] |= len(rest) > 0
+        kinds = {"key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "block": pa.int32(), "node": pa.int64(), "root": pa.int64()}
+        return pa.record_batch({c: pa.array([held[i][c] for i in np.flatnonzero(hit)], k) for c, k in kinds.items()})
+
+    for b in batches:
+        for r in b.to_pylist():
+            if held and any(r[c] != held[0][c] for c in ("key", "lo", "hi")):
+                yield told()
+                held.clear()
+            held.append(r)
+    if held:
+        yield told()
+    held.clear()
+    give_back()
+
+
 def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): confirmed links between components, from buckets that hold several.
 
@@ -260,14 +298,18 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFr
     rows = now.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int"))
     rows = stored(rows.select("key", "blocks", "block", "node", "root"), "mixed-buckets")
 
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "block", "node", "root", other).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root")
+    at = ["key", "lo", "hi"]
+    paired = rows.join(nodes.select("node", "n", "sig"), "node").repartition(*at).sortWithinPartitions(*at, "node").mapInArrow(_paired, "key long, lo int, hi int, block int, node long, root long")
+    paired = stored(paired, "paired-nodes")
+
     def to_set(texts: pa.Array) -> pa.Array:
         return pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
-    wanted = rows.select("node").distinct()
-    sets = _texts(wanted, nodes, docs).select("node", F.arrow_udf(to_set, "binary")("text").alias("shingles"))
+    sets = _texts(paired.select("node").distinct(), nodes, docs).select("node", F.arrow_udf(to_set, "binary")("text").alias("shingles"))
     sets = stored(sets.join(nodes.select("node", "sig"), "node"), "sets")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "block", "node", "root", other).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root").join(sets, "node")
+    rows = paired.join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -290,7 +332,7 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFr
         held.clear()
         give_back()
 
-    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long")
+    found = rows.repartition(*at).sortWithinPartitions(*at, "node").mapInArrow(run, "a long, b long")
     return found.distinct()
 
 
@@ -318,8 +360,11 @@ def _judged(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = nodes.select("node", F.col("rep.doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
+    named = stored(named, "roots-of-nodes")
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")), "components")
+    hot = least.where(F.col("size") > HOT).select("root", "component_id")  # at most a HOT-th of the nodes
+    cold = named.join(_bounded(hot), "root", "left_anti").join(least.where(F.col("size") <= HOT), "root")
+    named = named.join(_bounded(hot), "root").select("node", "component_id").unionByName(cold.select("node", "component_id"))
     out = rows.select("doc_id", "tkey", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "tkey", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
