@@ -41,14 +41,14 @@ def merged(toks: Column, pairs: Sequence[tuple[str, str]]) -> Column:
 
     s = F.concat(F.lit(OPEN), F.array_join(toks, CLOSE + OPEN), F.lit(CLOSE))
     s = F.translate(F.arrow_udf(run, "string")(s), NEW_OPEN + NEW_CLOSE, OPEN + CLOSE)
-    return F.split(F.substring(s, F.lit(2), F.length(s) - 2), CLOSE + OPEN)
+    return F.when(F.size(toks) > 0, F.split(F.substring(s, F.lit(2), F.length(s) - 2), CLOSE + OPEN)).otherwise(toks)
 
 
 def apply_batch(words: DataFrame, picks: Sequence[Pick]) -> DataFrame:
     """words with toks rewritten."""
     if not picks:
         return words
-    return words.withColumn("toks", F.when(F.size("toks") > 1, merged(F.col("toks"), [(p.a, p.b) for p in picks])).otherwise(F.col("toks")))
+    return words.withColumn("toks", merged(F.col("toks"), [(p.a, p.b) for p in picks]))
 
 
 @dataclass(frozen=True)

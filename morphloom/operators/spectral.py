@@ -9,48 +9,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DENSE = 1500  # tokens up to which the whole matrix is decomposed
 TOLERANCE = 1e-7
+STEPS, CLOSE = 1000, 1e-10  # of the iteration at most, and the residual at which it ends
+
+
+def _components(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each node can reach."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _largest(i: np.ndarray, j: np.ndarray, s: np.ndarray, n: int, known: np.ndarray) -> tuple[float, np.ndarray]:
+    """The largest eigenpair of I + S orthogonal to the columns of known: Lanczos with full reorthogonalisation."""
+    q = np.random.default_rng(0).standard_normal(n)
+    q -= known @ (known.T @ q)
+    basis, a, b = np.empty((n, min(n, STEPS))), [], []
+    basis[:, 0] = q / np.linalg.norm(q)
+    for step in range(basis.shape[1]):
+        own = basis[:, : step + 1]
+        v = own[:, -1] + np.bincount(i, s * own[j, -1], n)
+        a.append(v @ own[:, -1])
+        for _ in range(2):
+            v -= known @ (known.T @ v)
+            v -= own @ (own.T @ v)
+        size = np.linalg.norm(v)
+        last = size < CLOSE or step + 1 == basis.shape[1]
+        if last or step % 20 == 19:
+            values, vectors = np.linalg.eigh(np.diag(a) + np.diag(b, 1) + np.diag(b, -1))
+            if last or size * abs(vectors[-1, -1]) < CLOSE:
+                return float(values[-1]), own @ vectors[:, -1]
+        b.append(size)
+        basis[:, step + 1] = v / size
+    raise AssertionError  # the last step returns
+
 
+def _coordinate(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Of the three smallest eigenvalues of the normalised Laplacian of a symmetric matrix, the vector of the first above TOLERANCE.
 
-def _spectrum(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest eigenpairs (three at most) of the normalised Laplacian of a symmetric matrix."""
-    k = min(3, n - 1)
+    Each component of the graph has an eigenvalue of 0, whose vector is known and taken out beforehand. If the three
+    are all 0, any vector of that space will do: that of the second component is taken.
+    """
     degree = np.maximum(np.bincount(i, w, n), 1e-9)
+    label = _components(i, j, n)
+    of = np.unique(label[i])
+    known = np.sqrt(degree)[:, None] * (label[:, None] == of[None, :3])
+    known /= np.linalg.norm(known, axis=0)
     s = w / np.sqrt(degree[i] * degree[j])
-    if n <= DENSE:
-        m = np.eye(n)
-        np.add.at(m, (i, j), -s)
-        values, vectors = np.linalg.eigh(m)
-        return values[:k], vectors[:, :k]
-    # Lanczos with full reorthogonalisation on I + S, whose largest eigenvalues are the Laplacian's smallest
-    rng = np.random.default_rng(0)
-    q = rng.standard_normal(n)
-    basis, a, b = [q / np.linalg.norm(q)], [], []
-    for step in range(min(n, 400)):
-        v = basis[-1] + np.bincount(i, s * basis[-1][j], n)
-        a.append(v @ basis[-1])
-        for _ in range(2):
-            for u in basis:
-                v -= (v @ u) * u
-        size = np.linalg.norm(v)
-        if size < 1e-10 or step == min(n, 400) - 1:
-            break
-        b.append(size)
-        basis.append(v / size)
-    t = np.diag(a) + np.diag(b[: len(a) - 1], 1) + np.diag(b[: len(a) - 1], -1)
-    values, vectors = np.linalg.eigh(t)
-    top = np.argsort(-values)[:k]
-    return 2 - values[top], np.array(basis[: len(a)]).T @ vectors[:, top]
+    while known.shape[1] < min(3, n - 1):
+        value, vector = _largest(i, j, s, n, known)
+        if 2 - value > TOLERANCE:
+            return vector
+        known = np.column_stack([known, vector])
+    return known[:, min(1, known.shape[1] - 1)]
 
 
 def coordinates(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Standardised eigenvector of the first eigenvalue above TOLERANCE, as 32-bit floats; zeros for tiny graphs."""
     if n <= 2 or not len(w):
         return np.zeros(n, np.float32)
-    values, vectors = _spectrum(i, j, w, n)
-    above = np.flatnonzero(values > TOLERANCE)
-    z = vectors[:, above[0] if len(above) else min(1, len(values) - 1)]
+    z = _coordinate(i, j, w, n)
     return ((z - z.mean()) / (z.std() + 1e-9)).astype(np.float32)
 
 

@@ -413,6 +413,14 @@ def document_token_counts(spark, d):
     return E.encode_documents(docs, MERGES, vocab).select("doc_id", "n_tokens")
 
 
+@query("encode_words_trained")
+def encode_words_trained(spark, d):
+    """encode_words with the merges that train_freq learns."""
+    words = stored(_words(spark, d), "word-counts")
+    out = E.encode_words(words.select("word", "cnt"), T.train(words, T.TrainConfig(batch_size=BATCH)).merges)
+    return out.select("word", F.array_join("toks", " ").alias("tokens"), F.size("toks").cast("long").alias("n_tokens"))
+
+
 @query("document_token_counts_trained")
 def document_token_counts_trained(spark, d):
     """document_token_counts with the merges and the vocabulary that train_freq learns."""

@@ -443,4 +443,114 @@ def test_studies_are_registered_whole(spark, monkeypatch):
     for name in ("synthetic_eval", "text_eval"):
         with pytest.raises((StopIteration, RuntimeError)):
             Q.QUERIES[name](spark, "")
-    assert [(c.vocab_size, c.max_batches) for c in asked] == [(2000, T.MAX_BATCHES), (4000, T.MAX_BATCHES)]
+    want = [(n, T.MAX_BATCHES, m) for n in (2000, 4000) for m in S.METHODS]  # methods are trained side by side
+    assert sorted((c.vocab_size, c.max_batches, c.method) for c in asked) == sorted(want)
+
+
+def _affinity(edges, n):
+    m = np.zeros((n, n))
+    for a, b, w in edges:
+        m[a, b] += w
+        m[b, a] += w
+    i, j = np.nonzero(m)
+    return i, j, m[i, j], m
+
+
+@pytest.mark.parametrize("n", [40, 700])
+@pytest.mark.parametrize("parts", [1, 2])
+def test_coordinates_are_the_first_vector_above_zero(n, parts):
+    rng = np.random.default_rng(n + parts)
+    size = n // parts
+    edges = [(int(a) + p * size, int(b) + p * size, float(rng.random() + 0.1)) for p in range(parts) for a, b in [*zip(range(size - 1), range(1, size)), *rng.integers(0, size, (3 * size, 2))]]
+    i, j, w, m = _affinity(edges, n)
+    d = m.sum(axis=1)
+    values, vectors = np.linalg.eigh(np.eye(n) - m / np.sqrt(np.outer(d, d)))
+    assert values[parts] > 1e-4 > values[parts - 1]
+    z = vectors[:, parts]
+    want = (z - z.mean()) / z.std()
+    got = Z.coordinates(n, i, j, w)
+    assert min(np.abs(got - want).max(), np.abs(got + want).max()) < 1e-3
+
+
+def test_coordinates_of_many_components():
+    edges = [(3 * p, 3 * p + 1, 1.0) for p in range(5)]
+    z = Z.coordinates(16, *_affinity(edges, 16)[:3])
+    assert np.isfinite(z).all() and abs(z.mean()) < 1e-5 and z.std() == pytest.approx(1, abs=1e-3)
+
+
+@pytest.mark.parametrize("method", ["spectral", "spectral_shuffled"])
+def test_spectral_training_matches_the_plain_loop(spark, method):
+    """Batches chosen by scores that are worked out from numpy's decomposition."""
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 4))) + "".join(rng.choice("wxyz") for _ in range(rng.randint(2, 4))): rng.randint(2, 30) for _ in range(60)}
+    table = spark.createDataFrame([(w, n, 0, k) for k, (w, n) in enumerate(words.items())], "word string, cnt long, first_doc long, first_pos int")
+    got = T.train(table, T.TrainConfig(method=method, vocab_size=10**6, batch_size=3, max_batches=3, sigma=0.5))
+    toks, merges = {w: list(w) for w in words}, []
+    vocab = sorted({c for w in words for c in w})
+    for _ in range(3):
+        n, seen = Counter(), {}
+        for k, (w, t) in enumerate(toks.items()):
+            for at, p in enumerate(zip(t, t[1:])):
+                n[p] += words[w]
+                seen.setdefault(p, (k, at))
+        z = sum(n.values())
+        first, second = Counter(), Counter()
+        for (a, b), x in n.items():
+            first[a] += x
+            second[b] += x
+        pp = {p: math.log((x / z + 1e-12) / (first[p[0]] / z * second[p[1]] / z + 1e-12)) for p, x in n.items() if x >= 2}
+        pp = {p: v for p, v in pp.items() if v > 0}
+        ids = {t: i for i, t in enumerate(sorted(vocab))}
+        m = np.zeros((len(ids), len(ids)))
+        for (a, b), v in pp.items():
+            m[ids[a], ids[b]] += v
+            m[ids[b], ids[a]] += v
+        d = np.maximum(m.sum(axis=1), 1e-9)
+        values, vectors = np.linalg.eigh(np.eye(len(ids)) - m / np.sqrt(np.outer(d, d)))
+        c = vectors[:, next(k for k in range(3) if values[k] > 1e-7)]
+        c = ((c - c.mean()) / (c.std() + 1e-9)).astype(np.float32)
+        if method == "spectral_shuffled":
+            c = c[np.random.default_rng(0).permutation(len(c))]
+        score = {p: v * n[p] * math.exp(-(float(c[ids[p[0]]] - c[ids[p[1]]]) ** 2) / (2 * 0.25)) for p, v in pp.items()}
+        used, picks = set(), []
+        for p in sorted(score, key=lambda p: (-score[p], seen[p])):
+            if len(picks) < 3 and not used & set(p):
+                used |= set(p)
+                picks.append(p)
+        merges += picks
+        vocab = sorted({*vocab, *(a + b for a, b in picks)})
+        pairs = set(picks)
+        for w, t in toks.items():
+            out, k = [], 0
+            while k < len(t):
+                if k + 1 < len(t) and (t[k], t[k + 1]) in pairs:
+                    out.append(t[k] + t[k + 1])
+                    k += 2
+                else:
+                    out.append(t[k])
+                    k += 1
+            toks[w] = out
+    assert got.merges == merges
+
+
+def test_text_files_drop_bytes_that_are_not_text(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"good\xff\xfe text\xc3\xa9 \xe2\x82")
+    assert [r["text"] for r in C.read_text_files(spark, str(tmp_path)).collect()] == ["good text\u00e9 "]
+
+
+def test_lines_are_split_as_one_text(spark):
+    texts = ["a\nb\r\nc", "", None, "d\x0be\u2028f", "\n".join("ghijklmnop")]
+    lines = C.text_lines(docs(spark, texts))
+    want = [(i, k, x) for i, t in enumerate(texts) if t is not None for k, x in enumerate(t.splitlines() or [""])]
+    assert sorted(tuple(r) for r in lines.collect()) == sorted(want)
+    got = sorted((r["doc_id"], r["pos"], r["part"]) for r in C.split_lines(lines).collect())
+    at = int(len(want) * 0.9)
+    assert got == [(i, k, "train" if r < at else "val") for r, (i, k, _) in enumerate(sorted(want))]
+    assert C.split_lines(lines.limit(0)).count() == 0
+
+
+def test_training_stops_at_its_target(spark):
+    words = spark.createDataFrame([(w, 5, 0, i) for i, w in enumerate(["abcd", "abce", "bcda", "dabc"])], "word string, cnt long, first_doc long, first_pos int")
+    t = T.train(words, T.TrainConfig(vocab_size=7, batch_size=1))
+    assert len(t.vocab) == 7 and len(t.merges) == 2
+    assert len(T.train(words, T.TrainConfig(vocab_size=7, batch_size=50)).vocab) >= 7  # a batch may overshoot
