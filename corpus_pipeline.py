@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a table that the next one reads; models are trained on the labelled
 rows of the whole corpus at sf_dir, and each stage works on all that the one before it kept.
+
+Edge cases are those of the operators: null, empty and wordless texts have the classifier's bias as score and fail the
+rules; without labels the classifier keeps all; of equal or near texts the smallest doc_id stays, rows of one doc_id with
+different texts are judged apart, and repeated rows stay or go together; very long texts are taken whole. All columns
+of documents are passed on to packing, which gives its own; an empty table gives no pieces.
 """
 
 from __future__ import annotations
