@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,8 @@ from ..functions.measures import token_domain
 from ..plans.lineage import drop, new_path, stored, stored_at
 from .bigrams import bigram_counts, edge_weights, ppmi, symmetric
 from .scoring import Pick, conflict_free, score
-from .spectral import auto_sigma, embedding, permuted, z_gap
-from .words import segment, vocabulary, with_ids
+from .spectral import auto_sigma, embedding, permuted
+from .words import segment, vocabulary
 
 MAX_BATCHES = 10_000
 LOG = "step int, a string, b string, new_token string, score double, batch_id int, is_cross_boundary boolean, z_dist double"
@@ -116,11 +117,13 @@ def train(words: DataFrame, config: TrainConfig = TrainConfig()) -> Trained:
     if c.method != "freq" and not c.batch_size:
         raise ValueError("batch_size must be positive")
     place = new_path(spark, "words")
-    now = stored_at(segment(words), place)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    now = stored_at(segment(words).repartition(tasks, "word"), place)  # a file a task from here on: no batch shuffles words again
     vocab = {r[0] for r in vocabulary(now).collect()}
     merges: list[tuple[str, str]] = []
     rows: list[tuple] = []
-    z = snapshot = sigma = sigma_value = None
+    z = snapshot = sigma = None
+    at: dict[str, np.float32] = {}
     needs_z = c.method.startswith("spectral") or c.log_z
     z_size, batch = -1, 0
     while len(vocab) < c.vocab_size and batch < min(c.max_batches, MAX_BATCHES):
@@ -134,23 +137,21 @@ def train(words: DataFrame, config: TrainConfig = TrainConfig()) -> Trained:
         associated = kept(ppmi(pairs, c.tau), "associated") if c.method != "freq" or c.log_z else None
         if needs_z and (z is None or z_size != len(vocab) or batch % max(1, c.recompute_every) == 0):
             edges = edge_weights(associated, c.alpha)
-            ids = with_ids(spark.createDataFrame([(t,) for t in sorted(vocab)], "token string"))
+            known = sorted(vocab)
+            ids = spark.createDataFrame(pa.table({"token": known, "id": range(len(known))}))
             raw = stored(embedding(symmetric(edges), ids), "coordinates")
-            sigma_value = auto_sigma(edges, raw, c.sigma, c.sigma_mult).first()[0]
-            sigma = spark.range(1).select(F.lit(sigma_value).alias("sigma"))
+            sigma = c.sigma * c.sigma_mult if c.sigma > 0 else auto_sigma(edges, raw, c.sigma, c.sigma_mult).first()[0]
             z = stored(permuted(raw, c.shuffle_seed), "permuted") if c.method == "spectral_shuffled" else raw
             snapshot, z_size = (z if snapshot is None else snapshot), len(vocab)
+            at = {r["token"]: np.float32(r["z"]) for r in z.select("token", "z").collect()}
         scored = score(pairs, c.method, c.tau, c.alpha, z, sigma, c.gamma, associated)
         picks = conflict_free(scored if c.method == "freq" else kept(scored, "scored"), c.batch_size)
         if not picks:
             break
-        gaps: dict[tuple[str, str], float] = {}
-        if needs_z:
-            chosen = spark.createDataFrame([(p.a, p.b) for p in picks], "a string, b string")
-            gaps = {(r["a"], r["b"]): abs(r["dz"]) for r in z_gap(chosen, z).collect()}
         for p in picks:
             merges.append((p.a, p.b))
-            rows.append((len(merges), p.a, p.b, p.token, p.score, batch, gaps.get((p.a, p.b))))
+            gap = float(abs(at[p.a] - at[p.b])) if p.a in at and p.b in at else None
+            rows.append((len(merges), p.a, p.b, p.token, p.score, batch, gap))
             vocab.add(p.token)
         used.append(place)
         place = new_path(spark, "words")
@@ -162,4 +163,4 @@ def train(words: DataFrame, config: TrainConfig = TrainConfig()) -> Trained:
     both = c.stem_chars is not None and c.suffix_chars is not None
     cross = token_domain(F.col("new_token"), c.stem_chars, c.suffix_chars) == 3 if both else F.lit(None).cast("boolean")
     log = log.withColumn("is_cross_boundary", cross).select("step", "a", "b", "new_token", "score", "batch_id", "is_cross_boundary", "z_dist")
-    return Trained(c.method, merges, log, sorted(vocab), now, snapshot, sigma_value, c)
+    return Trained(c.method, merges, log, sorted(vocab), now, snapshot, sigma, c)

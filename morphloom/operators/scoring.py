@@ -24,10 +24,10 @@ class Pick:
         return self.a + self.b
 
 
-def score(pairs: DataFrame, method: str, tau: int = 2, alpha: float = 0.0, z: DataFrame | None = None, sigma: DataFrame | None = None, gamma: float = 1.0, associated: DataFrame | None = None) -> DataFrame:
+def score(pairs: DataFrame, method: str, tau: int = 2, alpha: float = 0.0, z: DataFrame | None = None, sigma: DataFrame | float | None = None, gamma: float = 1.0, associated: DataFrame | None = None) -> DataFrame:
     """a, b, score, first_seen of the pairs with a positive score.
 
-    z and sigma (a one-row frame) are for the spectral methods; associated saves computing PPMI again.
+    z and sigma (a number, or a one-row frame) are for the spectral methods; associated saves computing PPMI again.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
@@ -40,8 +40,10 @@ def score(pairs: DataFrame, method: str, tau: int = 2, alpha: float = 0.0, z: Da
     elif method == "ppmi_discounted":
         out = known.withColumn("score", discounted)
     else:
+        gaps = z_gap(known, z)
+        gaps = gaps.join(F.broadcast(sigma)) if isinstance(sigma, DataFrame) else gaps.withColumn("sigma", F.lit(sigma))
         coherence = F.exp(-gamma * F.col("dz") * F.col("dz") / (2.0 * F.col("sigma") * F.col("sigma")))
-        out = z_gap(known, z).join(F.broadcast(sigma)).withColumn("score", discounted * coherence)
+        out = gaps.withColumn("score", discounted * coherence)
     return out.select("a", "b", "score", "first_seen").where("score > 0")
 
 
