@@ -6,10 +6,12 @@ batch a pair is dropped when the posterior probability that its similarity reach
 far and a uniform prior, is below MISS. What survives is confirmed on the full word pairs of both texts.
 
 Only classes are asked for, so no group ever yields all its pairs. First each node meets the smallest node of its
-bands (linear), and the best such pair of a node is confirmed. Buckets that then still hold several components are
-compared in blocks of bounded size, across components only: first by signatures, which tell the nodes that have a
-surviving pair in a block, then by the full sets (of 64-bit shingle hashes) of these nodes alone; only links that join
-two components are given out. Buckets with the same nodes are compared once. Hence no link between candidates is lost,
+bands (linear), and the best such pair of a node is confirmed. Buckets that then still hold several components go
+through rounds (linear too) in which each of their nodes meets one node of another component, and the best pair of
+each component is confirmed, until a round joins few of them. Buckets that still hold several components are compared in
+blocks of bounded size, across components only: first by signatures, which tell the nodes that have a surviving pair
+in a block, then by the full sets (of 64-bit shingle hashes) of these nodes alone; only links that join two components
+are given out. Buckets with the same nodes are compared once. Hence no link between candidates is lost,
 and no pair leaves its block before it is confirmed. A pair of similarity 0.8 is missed with probability 4.8e-6: 3e-6
 by the bands, (1 - 0.8**ROWS)**BANDS, the rest by the pruning.
 
@@ -33,7 +35,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import bounded_batches, give_back, stored
@@ -44,6 +46,7 @@ HASHES = BANDS * ROWS
 BATCH = 32  # signature values compared at a time
 MISS = 1e-6
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # nodes and shingles in a block of a large bucket, on average at most
+WORTH = 10  # rounds go on while they find a link for one in so many of the components that share buckets
 HOT = 1000  # nodes of a component whose representative is told by broadcast
 BROADCAST_ROWS = 1_000_000  # ids that may be broadcast; beyond, joins shuffle
 
@@ -252,12 +255,16 @@ def links_across(node: np.ndarray, root: np.ndarray, block: np.ndarray, sig: np.
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted blocks (key, lo, hi; block, node, root, n, sig) the nodes with a pair across components that isn't pruned."""
+    """Of sorted blocks (key, lo, hi; block, node, root, n, bands, sig) the nodes with a pair across components that isn't pruned.
+
+    A pair that shares several buckets counts in that of the smallest key only.
+    """
     held: list[dict] = []
 
     def told() -> pa.RecordBatch:
         root, block, n = (np.array([r[c] for r in held]) for c in ("root", "block", "n"))
         sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint8).reshape(-1, HASHES)
+        bands, key = np.array([r["bands"] for r in held], np.int64), held[0]["key"]
         one_block, hit = held[0]["lo"] == held[0]["hi"], np.zeros(len(held), bool)
         for i in range(len(held) - 1):
             fits = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))
@@ -268,6 +275,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = np.flatnonzero(fits) + i + 1
             if len(rest):
                 rest = rest[survivors(np.broadcast_to(sig[i], (len(rest), HASHES)), sig[rest]) >= 0]
+                rest = rest[((bands[rest] == bands[i]) & (bands[i] < key)).sum(axis=1) == 0]
                 hit[rest] = True
                 hit[i] |= len(rest) > 0
         kinds = {"key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "block": pa.int32(), "node": pa.int64(), "root": pa.int64()}
@@ -285,23 +293,64 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): confirmed links between components, from buckets that hold several.
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the buckets that hold several components."""
+    now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    now = stored(now, "bucket-roots")
+    several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return stored(now.join(several, "key"), "mixed-buckets")
+
 
-    A large bucket is cut into blocks by hash, and each pair of blocks is a group of its own.
+def _merged(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(roots, mixed): components joined in rounds as long as that joins many, and the buckets that still hold several.
+
+    In a round, a bucket's nodes meet one node of it, another in each round, and the best pair of a component is
+    confirmed. So a round costs as much as there are rows in mixed buckets, however large a bucket is.
     """
-    now = members.join(roots, "node", "left").join(nodes.select("node", "n"), "node").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    now = stored(now, "bucket-roots")
-    mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2))).where("lo != hi")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    mixed = mixed.groupBy("size", "x1", "x2").agg(F.min("key").alias("key"), F.max(blocks).alias("blocks"))
-    rows = now.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int"))
-    rows = stored(rows.select("key", "blocks", "block", "node", "root"), "mixed-buckets")
+    turn, gained = 0, True
+    while not (mixed := _mixed(members, roots)).isEmpty() and gained:
+        turn += 1
+        heads = mixed.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("head"))
+        met = mixed.join(heads, "key").where("root != head.root").select(F.col("node").alias("a"), F.col("head.node").alias("b"), "root").distinct()
+        met = stored(met, "met")
+        near = _pairs_survive(met.select("a", "b"), nodes).join(met, ["a", "b"])
+        best = near.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")).select("p.a", "p.b")
+        found = stored(_confirm(stored(best, "tested"), nodes, docs), "links")
+        if not (links := found.count()):
+            break
+        gained = WORTH * links >= mixed.select("root").distinct().count()
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        members = mixed.select("key", "node")
+    return roots, mixed
+
+
+def _across(mixed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between components, from buckets that hold several.
 
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    The nodes of a bucket's largest component and its other nodes are cut into blocks by hash. Each block of others
+    meets each block, itself included, and each such pair is a group of its own: the largest component is never
+    compared with itself.
+    """
+    now = mixed.join(nodes.select("node", "n"), "node")
+    parts = now.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)))
+    main = F.max(F.struct("size", "root", "shingles")).alias("main")
+    whole = parts.groupBy("key").agg(main, F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), *(F.bit_xor(x).alias(x) for x in ("x1", "x2")))
+
+    def blocks(size: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(size / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    few, many = blocks(F.col("size") - F.col("main.size"), F.col("shingles") - F.col("main.shingles")), blocks(F.col("main.size"), F.col("main.shingles"))
+    # Buckets with the same nodes have the same components too; of these the smallest key stays, as _paired asks.
+    cuts = whole.groupBy("size", "x1", "x2").agg(F.min("key").alias("key"), F.max("main.root").alias("main"), F.max(few).alias("few"), F.max(many).alias("many"))
+    inside, block = F.col("root") == F.col("main"), F.xxhash64(F.lit(9), "node")
+    rows = mixed.join(cuts.select("key", "main", "few", "many"), "key")
+    rows = rows.withColumn("block", F.when(inside, F.col("few") + F.pmod(block, F.col("many"))).otherwise(F.pmod(block, F.col("few"))).cast("int"))
+    rows = rows.withColumn("last", F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+
+    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
     rows = rows.select("key", "block", "node", "root", other).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root")
     at = ["key", "lo", "hi"]
-    paired = rows.join(nodes.select("node", "n", "sig"), "node").repartition(*at).sortWithinPartitions(*at, "node").mapInArrow(_paired, "key long, lo int, hi int, block int, node long, root long")
+    paired = rows.join(nodes.select("node", "n", "bands", "sig"), "node").repartition(*at).sortWithinPartitions(*at, "node").mapInArrow(_paired, "key long, lo int, hi int, block int, node long, root long")
     paired = stored(paired, "paired-nodes")
 
     def to_set(texts: pa.Array) -> pa.Array:
@@ -356,7 +405,8 @@ def _judged(docs: DataFrame) -> DataFrame:
     best = near.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
     links = stored(_confirm(stored(best, "tested"), nodes, docs), "links")
     roots = components(links)
-    more = stored(_across(members.select("key", "node"), nodes, roots, docs), "links")
+    roots, mixed = _merged(members.select("key", "node"), nodes, roots, docs)
+    more = stored(_across(mixed, nodes, docs), "links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = nodes.select("node", F.col("rep.doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -263,6 +263,22 @@ def test_classes_match_brute_force(spark, block, monkeypatch):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_components_of_a_large_bucket_are_joined_before_it_is_compared_whole(spark, monkeypatch):
+    rng, sizes, stored = random.Random(6), {}, N.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "stored", counted)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rows = [(i, " ".join(f"w{rng.randrange(17)}" for _ in range(600))) for i in range(120)]  # few words: most pairs are near the threshold
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert sizes["paired-nodes"] < 8000, sizes  # 17,061 when all mixed buckets were compared whole
+
+
 def test_dup_edges(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "x y z"), (7, "A B C")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in N.near_duplicates(df).collect()), key=str)
