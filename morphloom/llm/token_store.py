@@ -171,7 +171,8 @@ def _objects(path: str, end: int):
                 continue
             raws = [enc.encode(t) + tail for t in b.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in raws], np.int64)
-            raw = memoryview(b"".join(raws))
+            whole = b"".join(raws)
+            raw = memoryview(whole)
             raws.clear()
             ids, ends = np.frombuffer(raw, "<u4"), np.cumsum(n)
             to = cuts(ids, ends.tolist())
@@ -183,7 +184,8 @@ def _objects(path: str, end: int):
                     if len(sent) < SEEN:
                         sent.add(x)
             wide = len(ids) and int(ids.max()) > 0xFFFF
-            short = raw if wide else memoryview(ids.astype("<u2").tobytes())
+            # bytes, as pa.array never lets go of a memoryview: a worker would keep the ids of every batch it has seen
+            short = whole if wide else ids.astype("<u2").tobytes()
             starts, width = [0, *to], 4 if wide else 2
             data = [short[width * starts[i] : width * to[i]] for i in fresh]
             if wide:

@@ -150,6 +150,30 @@ def test_stored_forms_of_chunks_are_widened():
     assert [bytes(x) for x in S.widened(pa.array(mixed, pa.binary()), np.array([5, 2, 3]))] == [x.tobytes() for x in parts]
 
 
+@pytest.mark.parametrize("end", [2, 70_000])
+def test_a_worker_keeps_nothing_of_the_batches_it_has_encoded(end):
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    rng, t = random.Random(5), library(FILES[1])
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=1000)) for _ in range(50)]
+    batch = pa.record_batch({"doc_id": list(range(50)), "text": texts})
+    run = S._objects(vocabulary(FILES[1]), end)
+    chunks, recipes = run(iter([batch]))
+    ids = {k.as_py(): bytes(x) for k, x in zip(chunks["key"], S.widened(chunks["data"], chunks["n"].to_numpy()))}
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, end], "<u4").tobytes() for x in texts]
+    assert [b"".join(ids[k] for k in keys) for keys in recipes["chunks"].to_pylist()] == want
+    gc.collect()
+    before = sys.getallocatedblocks()
+    for _ in range(10):
+        for _ in run(iter([batch])):
+            pass
+    gc.collect()
+    assert sys.getallocatedblocks() - before < 100  # ten batches of more than 50 chunks each
+
+
 def test_empty_store(spark):
     path = S.write_store(frame(spark).limit(0), new_path(spark, "store"), vocabulary(FILES[1]), 2)
     assert S.read_summary(spark, path).count() == S.read_ids(spark, path).count() == 0
