@@ -91,40 +91,79 @@ class Features:
     chars: tuple[int, ...] = ()
     bits: int = BITS
 
-    def slots(self, text: str) -> Iterator[np.ndarray]:
-        """For each kind of n-gram that the text has, the slots of all its occurrences."""
+    def slots(self, text: str) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+        """For each kind of n-gram that the text has, their number and the slots of all occurrences, a slice at a time."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        s, e = word_spans(raw)
+        if not len(s):
+            return
         with np.errstate(over="ignore"):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            s, e = word_spans(raw)
-            if not len(s):
-                return
             h = word_hashes(raw, s, e)
-            for n in self.words:
-                if len(g := grams(h, n)):
-                    yield _slots(g, n, self.bits)
-            if self.shapes:
-                again = np.zeros(len(h), np.uint64)
-                again[1:] = h[1:] == h[:-1]
-                shape = mix(_KIND[raw[s]] + (_KIND[raw[e - 1]] << np.uint64(8)) + (_KIND[raw[np.maximum(e - 2, s)]] << np.uint64(16)) + (again << np.uint64(24)))
-                for n in self.shapes:
-                    if len(g := grams(shape, n)):
-                        yield _slots(g, 16 + n, self.bits)
-            if self.chars:
-                points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-                for n in self.chars:
-                    if len(g := _char_grams(points, n)):
-                        yield _slots(g, 32 + n, self.bits)
+            shape = _shapes(raw, s, e, h) if self.shapes else h
+
+        def of(hashes: np.ndarray, n: int, kind: int) -> tuple[int, Iterator[np.ndarray]]:
+            def parts() -> Iterator[np.ndarray]:
+                for i in range(0, len(hashes) - n + 1, _SLICE):
+                    with np.errstate(over="ignore"):
+                        part = _slots(grams(hashes[i : i + _SLICE + n - 1], n), kind, self.bits)
+                    yield part
+
+            return len(hashes) - n + 1, parts()
+
+        def of_chars(n: int) -> tuple[int, Iterator[np.ndarray]]:
+            def parts() -> Iterator[np.ndarray]:
+                for i in range(0, len(text) - n + 1, _SLICE):
+                    points = np.frombuffer(text[i : i + _SLICE + n - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+                    with np.errstate(over="ignore"):
+                        part = _slots(_char_grams(points, n), 32 + n, self.bits)
+                    yield part
+
+            return len(text) - n + 1, parts()
+
+        yield from (of(h, n, n) for n in self.words if len(h) >= n)
+        yield from (of(shape, n, 16 + n) for n in self.shapes if len(h) >= n)
+        yield from (of_chars(n) for n in self.chars if len(text) >= n)
 
     def sparse(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct slots and values of a text; none for null and wordless texts."""
-        found = [(x, np.full(len(x), 1 / len(x))) for x in self.slots(text or "")]
+        """Distinct slots and values of a text; none for null and wordless texts.
+
+        The occurrences of a very long text are added up in a table of all slots, in the same order as otherwise.
+        """
+        found = list(self.slots(text or ""))
         if not found:
             return np.zeros(0, np.int32), np.zeros(0, np.float32)
-        slots, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-        return slots.astype(np.int32), np.bincount(at, np.concatenate([v for _, v in found])).astype(np.float32)
+        if sum(n for n, _ in found) > 4 * _SLICE:
+            total = np.zeros(1 << self.bits)
+            for n, parts in found:
+                for part in parts:
+                    np.add.at(total, part, 1 / n)
+            slots = np.flatnonzero(total)
+            return slots.astype(np.int32), total[slots].astype(np.float32)
+        parts = [(part, np.full(len(part), 1 / n)) for n, own in found for part in own]
+        slots, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return slots.astype(np.int32), np.bincount(at, np.concatenate([v for _, v in parts])).astype(np.float32)
 
     def dot(self, text: str | None, weights: np.ndarray) -> float:
-        return float(sum(weights[x].mean(dtype=np.float64) for x in self.slots(text or "")))
+        total = 0
+        for n, parts in self.slots(text or ""):
+            own, at = np.empty(n, weights.dtype), 0
+            for part in parts:
+                own[at : at + len(part)] = weights[part]
+                at += len(part)
+            total += own.mean(dtype=np.float64)
+        return float(total)
+
+
+def _shapes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes of the shapes of words, a slice at a time."""
+    out = np.empty(len(h), np.uint64)
+    for i in range(0, len(h), _SLICE):
+        a, z, own = s[i : i + _SLICE], e[i : i + _SLICE], h[i : i + _SLICE]
+        again = np.zeros(len(own), np.uint64)
+        again[1:] = own[1:] == own[:-1]
+        again[0] = i > 0 and h[i - 1] == own[0]
+        out[i : i + _SLICE] = mix(_KIND[raw[a]] + (_KIND[raw[z - 1]] << np.uint64(8)) + (_KIND[raw[np.maximum(z - 2, a)]] << np.uint64(16)) + (again << np.uint64(24)))
+    return out
 
 
 def _char_grams(points: np.ndarray, n: int) -> np.ndarray:

@@ -291,3 +291,20 @@ def test_rows_beyond_the_memory_are_learned_from_in_each_epoch():
     rows = [(rng.choice(1 << 8, 12, replace=False).astype(np.int32), rng.random(12), int(i % 3 == 0), 1.0) for i in range(60)]
     whole, spilled = (X.train_ftrl(rows, X.Features(bits=8), keep_bytes=k) for k in (10**9, 2000))
     assert np.array_equal(whole.weights, spilled.weights) and whole.bias == spilled.bias
+
+
+def test_a_very_long_text_takes_memory_in_slices():
+    """Bytes held at once for each byte of the text; 14 for the counts, 38 for the score and 92 for a row of training when whole arrays were made."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["lorem", "ipsum", "dolor"]) + str(rng.randrange(10**4)) for _ in range(400_000))
+    text += text[:100_000]
+    weights = np.zeros(1 << R.FEATURES.bits, np.float32)
+    R.text_counts("warm up " * 9)
+    for most, job in ((10, lambda: R.text_counts(text)), (16, lambda: R.FEATURES.dot(text, weights)), (16, lambda: R.FEATURES.sparse(text))):
+        tracemalloc.start()
+        job()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(text)
