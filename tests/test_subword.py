@@ -552,3 +552,44 @@ def test_training_stops_at_its_target(spark):
     t = T.train(words, T.TrainConfig(vocab_size=7, batch_size=1))
     assert len(t.vocab) == 7 and len(t.merges) == 2
     assert len(T.train(words, T.TrainConfig(vocab_size=7, batch_size=50)).vocab) >= 7  # a batch may overshoot
+
+
+def test_words_are_trained_as_arrays(spark, tmp_path):
+    """A batch writes a row for each block and share of pairs, not one for each word; merges and pairs are those of the plain loop."""
+    from morphloom.operators import segments as G
+
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("aab𝔞") for _ in range(rng.randint(1, 9))) for _ in range(900)})
+    rows = [(w, rng.randint(0, 5), rng.choice([None, 3, -1]), i) for i, w in enumerate(words)]
+    table = spark.createDataFrame(rows, "word string, cnt long, first_doc long, first_pos int")
+    first = G.first_segments(table.repartition(3), str(tmp_path / "0"))
+    assert first.count() <= 3 * (G.SHARES + 2) < len(words)
+    assert sorted(map(chr, G.symbols(first))) == sorted({*"ab𝔞"})
+    names = {ord(c): c for c in "ab𝔞"} | {G.MERGED + 1: "aa", G.MERGED + 2: "b𝔞"}
+    after = G.next_segments(first, [(ord("a"), ord("a"), G.MERGED + 1), (ord("b"), ord("𝔞"), G.MERGED + 2)], str(tmp_path / "1"))
+    for segments, picks in ((first, []), (after, [("a", "a"), ("b", "𝔞")])):
+        want = {w: naive_encode_once(list(w), picks) for w in words}
+        got = {r["word"]: r for r in G.segmented_words(segments, names).collect()}
+        assert {w: r["toks"] for w, r in got.items()} == want
+        assert sorted(((r["word"], r["cnt"], r["first_doc"], r["first_pos"]) for r in got.values()), key=lambda r: r[3]) == rows
+        n, seen = Counter(), {}
+        for w, cnt, doc, pos in rows:
+            for at, p in enumerate(zip(want[w], want[w][1:])):
+                if cnt:
+                    n[p] += cnt
+                    seen[p] = min(seen.get(p, (math.inf,)), (G.NO_DOC if doc is None else doc, pos, at))
+        pairs = G.segment_pairs(segments).collect()
+        assert {(names[r["a"]], names[r["b"]]): (r["n"], tuple(r["first_seen"])) for r in pairs} == {p: (n[p], seen[p]) for p in n}
+        assert len(pairs) == len(n)
+
+
+def naive_encode_once(toks, picks):
+    out, i = [], 0
+    while i < len(toks):
+        if tuple(toks[i : i + 2]) in picks:
+            out.append("".join(toks[i : i + 2]))
+            i += 2
+        else:
+            out.append(toks[i])
+            i += 1
+    return out
