@@ -52,17 +52,27 @@ def encode_words(words: DataFrame, merges: Sequence[tuple[str, str]], first: int
 
 def token_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     """word, pos, id of encoded words (word, toks): a piece's id in vocab (token, id), else that of the unknown token if there is
-    one, else those of its known characters; pos counts what remains."""
-    unknown = vocab.where(F.col("token") == UNKNOWN).agg(F.max("id").alias("unk"))
-    pieces = encoded.select("word", F.posexplode("toks").alias("at", "token"))
-    known = pieces.join(F.broadcast(vocab), "token", "left").join(F.broadcast(unknown))
-    whole = known.select("word", "at", F.lit(0).alias("sub"), F.coalesce("id", "unk").alias("id")).where("id is not null")
-    chars = known.where("id is null and unk is null").select("word", "at", F.posexplode(F.split("token", "")).alias("sub", "token"))
-    chars = chars.join(F.broadcast(vocab), "token").select("word", "at", "sub", "id")
-    from pyspark.sql import Window as W
-
-    pos = F.row_number().over(W.partitionBy("word").orderBy("at", "sub")) - 1
-    return whole.unionByName(chars).select("word", pos.cast("long").alias("pos"), "id")
+    one, else those of its known characters; pos counts what remains.
+
+    vocab is collected, as its size is bounded; ids are looked up where the words lie, so nothing is shuffled or sorted.
+    """
+    spark = encoded.sparkSession
+    sent = spark.sparkContext.broadcast({r["token"]: r["id"] for r in vocab.select("token", "id").collect()})
+
+    def run(column: pa.Array) -> pa.Array:
+        known = sent.value
+        return pa.array([None if toks is None else ids_of(toks, known) for toks in column.to_pylist()], pa.list_(pa.int64()))
+
+    ids = encoded.select("word", F.posexplode(F.arrow_udf(run, "array<long>")("toks")).alias("pos", "id"))
+    return ids.select("word", F.col("pos").cast("long").alias("pos"), F.col("id").cast(vocab.schema["id"].dataType).alias("id"))
+
+
+def ids_of(toks: Sequence[str], known: dict[str, int]) -> list[int]:
+    unknown, out = known.get(UNKNOWN), []
+    for token in toks:
+        i = known.get(token, unknown)
+        out += [i] if i is not None else [known[c] for c in token if c in known]
+    return out
 
 
 MEMO = 200_000  # words that a worker remembers

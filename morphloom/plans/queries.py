@@ -394,7 +394,7 @@ _V_SQL = ENC_SQL + ", v0 as (select distinct unnest(string_split(word, '')) toke
 
 
 def _ids_vocab(spark: SparkSession, d: str) -> DataFrame:
-    tokens = Wd.vocabulary(Wd.segment(_words(spark, d))).unionByName(spark.createDataFrame([(a + b,) for a, b in MERGES], "token string")).distinct()
+    tokens = Wd.text_symbols(C.read_documents(spark, d)).unionByName(spark.createDataFrame([(a + b,) for a, b in MERGES], "token string")).distinct()
     return Wd.with_ids(tokens.where(~F.col("token").isin("x", "ä", "re")))
 
 

@@ -593,3 +593,10 @@ def naive_encode_once(toks, picks):
             out.append(toks[i])
             i += 1
     return out
+
+
+def test_token_ids_neither_shuffle_nor_sort(spark):
+    coded = spark.createDataFrame([("abq", ["ab", "q"])], "word string, toks array<string>")
+    vocab = spark.createDataFrame([("a", 0), ("ab", 1)], "token string, id int")
+    plan = E.token_ids(coded, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "Window"))
