@@ -616,3 +616,17 @@ def test_an_encoder_is_bounded_in_bytes(monkeypatch):
     tracemalloc.stop()
     assert held < 10_000_000
     assert coder.of_text("7 7") == [1000, 1008, 1000, 1008]
+
+
+def test_few_words_are_few_files_whatever_the_partitions(spark, monkeypatch):
+    parts = []
+    step = T.next_segments
+    monkeypatch.setattr(T, "next_segments", lambda segments, *more: parts.append(segments.where("ids is not null").count()) or step(segments, *more))
+    words = spark.createDataFrame([(f"{i:05d}", 1, 0, i) for i in range(2000)], "word string, cnt long, first_doc long, first_pos int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        T.train(words, T.TrainConfig(max_batches=1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert parts[0] < 10
